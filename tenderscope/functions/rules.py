@@ -86,3 +86,17 @@ def risk_label(procedure_type="procedure_type", bid_count="bid_count",
 
 def clip(x, lo: float, hi: float) -> Column:
     return F.least(F.greatest(_c(x), F.lit(lo)), F.lit(hi))
+
+
+MONEY_DECIMALS = 4
+
+
+def money_avg(total, count) -> Column:
+    """Mean of money values from a sum rounded to the money grain (1e-4).
+
+    A money sum's exact value lies on the grain, so rounding it there removes
+    summation-order noise without ever meeting a tie; the quotient is then the
+    same double in every engine and partition layout. NULL when count is 0.
+    """
+    t, n = _c(total), _c(count)
+    return F.round(t, MONEY_DECIMALS) / F.nullif(n.cast("double"), F.lit(0.0))

@@ -28,6 +28,7 @@ class QuerySpec:
     sql: str | None = None
     r6: tuple[str, ...] = ()
     r4: tuple[str, ...] = ()
+    exact: tuple[str, ...] = ()
     headline: bool = False
     tags: tuple[str, ...] = field(default_factory=tuple)
 
@@ -37,11 +38,11 @@ REGISTRY: dict[str, QuerySpec] = {}
 QUERY_MODULES = ("catalogue", "history", "features", "graph", "stats", "integration", "ml")
 
 
-def register(name: str, sql: str | None = None, r6=(), r4=(), headline: bool = False):
+def register(name: str, sql: str | None = None, r6=(), r4=(), exact=(), headline: bool = False):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query name {name}")
-        REGISTRY[name] = QuerySpec(name, fn, sql, tuple(r6), tuple(r4), headline)
+        REGISTRY[name] = QuerySpec(name, fn, sql, tuple(r6), tuple(r4), tuple(exact), headline)
         return fn
     return deco
 
@@ -56,10 +57,10 @@ def load_all() -> dict[str, QuerySpec]:
     return REGISTRY
 
 
-def _round_doubles(df: DataFrame, r4: tuple[str, ...]) -> DataFrame:
+def _round_doubles(df: DataFrame, r4: tuple[str, ...], exact: tuple[str, ...] = ()) -> DataFrame:
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in exact:
             digits = 4 if f.name in r4 else 6
             cols.append(F.round(F.col(f.name), digits).alias(f.name))
         else:
@@ -71,7 +72,7 @@ def spark_query_for(name: str) -> Callable[[SparkSession, str], DataFrame]:
     spec = REGISTRY[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _round_doubles(spec.build(spark, sf_dir), spec.r4)
+        return _round_doubles(spec.build(spark, sf_dir), spec.r4, spec.exact)
 
     run.__name__ = name
     run.__doc__ = spec.build.__doc__
