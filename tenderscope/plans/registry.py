@@ -57,10 +57,10 @@ def load_all() -> dict[str, QuerySpec]:
     return REGISTRY
 
 
-def _round_doubles(df: DataFrame, r4: tuple[str, ...], exact: tuple[str, ...] = ()) -> DataFrame:
+def _round_doubles(df: DataFrame, r4: tuple[str, ...], r6: tuple[str, ...]) -> DataFrame:
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in exact:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and (f.name in r4 or f.name in r6):
             digits = 4 if f.name in r4 else 6
             cols.append(F.round(F.col(f.name), digits).alias(f.name))
         else:
@@ -72,7 +72,7 @@ def spark_query_for(name: str) -> Callable[[SparkSession, str], DataFrame]:
     spec = REGISTRY[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _round_doubles(spec.build(spark, sf_dir), spec.r4, spec.exact)
+        return _round_doubles(spec.build(spark, sf_dir), spec.r4, spec.r6)
 
     run.__name__ = name
     run.__doc__ = spec.build.__doc__
