@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 DEFAULT_SALT_BUCKETS = 16
 
 
@@ -91,6 +93,10 @@ def global_order_prefix(df: DataFrame, order_cols: list[Column], sums: dict[str,
     r = df.repartitionByRange(n, *order_cols).withColumn("_b", F.spark_partition_id())
     for k, c in sums.items():
         r = r.withColumn(f"_v_{k}", c)
+    # range bounds come from a sample taken per execution: materialise the
+    # bucket assignment once so the offsets and the local windows agree
+    ensure_checkpoint_dir(spark)
+    r = r.checkpoint(eager=True)
     tot = r.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"),
                               *[F.sum(f"_v_{k}").alias(f"_bs_{k}") for k in sums])
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= n rows
