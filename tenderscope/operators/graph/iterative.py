@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ...session import ensure_checkpoint_dir
 
+_DEBUG = False
+
 
 def vertex_ids(edges: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame:
     """(key..., node_id, vid): unique long ids, made stable by a reliable checkpoint."""
@@ -76,7 +78,7 @@ def giant_component_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1.0e-6,
-             checkpoint_every: int = 5) -> DataFrame:
+             checkpoint_every: int = 4) -> DataFrame:
     """Weighted PageRank of the undirected graph (each edge both ways,
     transition ∝ weight / weighted degree), uniform teleport, dangling mass
     spread uniformly; stops when the L1 change < n·tol. Ranks sum to 1."""
@@ -88,16 +90,27 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
     und = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     wdeg = und.groupBy("a").agg(F.sum("weight").alias("_wd"))
     trans = (und.join(wdeg, "a").select("a", "b", (F.col("weight") / F.col("_wd")).alias("p"))).checkpoint(eager=True)
-    dangling = vids.join(wdeg.withColumnRenamed("a", "vid"), "vid", "left_anti").select("vid")
-    pr = vids.select("vid", F.lit(1.0 / n).alias("pr"))
+    # vertices without weight leave their mass to everyone (materialised once)
+    dangling = (vids.select("vid").join(trans.select(F.col("a").alias("vid")).distinct(), "vid", "left_anti")
+                .checkpoint(eager=True))
+    pr = vids.select("vid", F.lit(1.0 / n).alias("pr")).cache()
     for i in range(max_iter):
+        # dangling mass and the teleport term join as a one-row broadcast
         dmass = pr.join(dangling, "vid", "left_semi").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("_d"))
         contrib = trans.join(pr.withColumnRenamed("vid", "a"), "a").groupBy("b").agg(F.sum(F.col("pr") * F.col("p")).alias("_c"))
-        new = (vids.select("vid").join(contrib.withColumnRenamed("b", "vid"), "vid", "left").crossJoin(F.broadcast(dmass))
-               .select("vid", (alpha * (F.coalesce(F.col("_c"), F.lit(0.0)) + F.col("_d") / n) + (1 - alpha) / n).alias("pr")))
-        new = new.checkpoint(eager=True) if (i + 1) % checkpoint_every == 0 else new.cache()
-        err = new.join(pr.withColumnRenamed("pr", "_old"), "vid").agg(F.sum(F.abs(F.col("pr") - F.col("_old")))).first()[0]
-        pr = new
+        new = (pr.select("vid", F.col("pr").alias("_old")).join(contrib.withColumnRenamed("b", "vid"), "vid", "left")
+               .crossJoin(F.broadcast(dmass))
+               .select("vid", "_old", (alpha * (F.coalesce(F.col("_c"), F.lit(0.0)) + F.col("_d") / n) + (1 - alpha) / n)
+                       .alias("pr")))
+        new = new.cache()
+        # one action per round: materialises the new ranks and measures the change
+        err = new.agg(F.sum(F.abs(F.col("pr") - F.col("_old")))).first()[0]
+        nxt = new.select("vid", "pr")
+        if (i + 1) % checkpoint_every == 0:
+            nxt = nxt.checkpoint(eager=True)   # cut lineage; reads the cached round
+        pr = nxt.cache()
+        if _DEBUG:
+            print("pagerank round", i, err, flush=True)
         if err is not None and err < n * tol:
             break
     return pr.join(vids, "vid").select("node_id", F.col("pr").alias("pagerank"))
