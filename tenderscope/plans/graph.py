@@ -280,3 +280,20 @@ SELECT src, dst, weight, contracts, decile FROM r WHERE rn <= FLOOR(nd * 0.35 +
 def r16_value_stratified_sample(spark, sf_dir):
     """Value-decile stratified 35 % edge sample, seed 42."""
     return smp.value_stratified_edge_sample(edges(spark, sf_dir), 0.35, 42)
+
+
+from ..operators.graph import blocks as gbl  # noqa: E402
+
+
+@register("r21_exposure_table")
+def r21_exposure_table(spark, sf_dir):
+    """Cut vertices (Tarjan–Vishkin on a BFS forest), removal shares via blocks, systemic-importance rank."""
+    c = C(spark, sf_dir)
+    return gbl.exposure_table(gb.bipartite_edges(c), gb.region_partition(c))
+
+
+@register("r24_resilience_summary")
+def r24_resilience_summary(spark, sf_dir):
+    """Articulation points, degree-1 buyers, communities of the exposure table."""
+    c = C(spark, sf_dir)
+    return gbl.resilience_summary(gbl.exposure_table(gb.bipartite_edges(c), gb.region_partition(c)))
