@@ -5,6 +5,8 @@ rounds so a lost executor recomputes at most those rounds."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,32 @@ from ...session import ensure_checkpoint_dir
 _DEBUG = False
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    A plain file scan carries no memory of the plan that produced it, so round
+    after round the analysed plan stays the same size."""
+    import uuid
+    root = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def iterative_plan_settings(spark):
+    """Checkpointed relations carry the constraints of the plan they came
+    from; over many rounds constraint inference grows without bound. Iterative
+    jobs switch it off for their own duration and restore the caller's value."""
+    key = "spark.sql.constraintPropagation.enabled"
+    old = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def vertex_ids(edges: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame:
     """(key..., node_id, vid): unique long ids, made stable by a reliable checkpoint."""
     ensure_checkpoint_dir(edges.sparkSession)
@@ -48,7 +76,7 @@ def connected_components(edges: DataFrame, key_cols: tuple[str, ...] = (), max_r
         jumped = (step.alias("n").join(step.select(*keys, F.col("vid").alias("label"), F.col("label").alias("_l2")),
                                        [*keys, "label"], "left")
                   .select(*keys, "vid", F.least("label", F.coalesce("_l2", "label")).alias("label")))
-        jumped = jumped.checkpoint(eager=True) if (r + 1) % checkpoint_every == 0 else jumped.cache()
+        jumped = materialize(jumped) if (r + 1) % checkpoint_every == 0 else jumped.cache()
         changed = (jumped.join(labels.withColumnRenamed("label", "_old"), [*keys, "vid"])
                    .where(F.col("label") != F.col("_old")).limit(1).count())
         labels = jumped
@@ -107,7 +135,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
         err = new.agg(F.sum(F.abs(F.col("pr") - F.col("_old")))).first()[0]
         nxt = new.select("vid", "pr")
         if (i + 1) % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)   # cut lineage; reads the cached round
+            nxt = materialize(nxt)   # cut lineage with a written table
         pr = nxt.cache()
         if _DEBUG:
             print("pagerank round", i, err, flush=True)

@@ -315,3 +315,24 @@ def r05_composite_centrality(spark, sf_dir):
     m = (gb.node_metrics(e).join(gbw.betweenness(e, k=500, seed=42, batch=250), "node_id", "left")
          .join(gi.pagerank(e), "node_id", "left"))
     return gb.composite_centrality(m, 0.4, 0.3, 0.3)
+
+
+from ..operators.graph import communities as gco  # noqa: E402
+
+
+@register("r07_communities")
+def r07_communities(spark, sf_dir):
+    """Parallel Louvain partition (local moving + contraction levels), seed 42."""
+    return gco.louvain(edges(spark, sf_dir), seed=42)[0]
+
+
+@register("r07_modularity")
+def r07_modularity(spark, sf_dir):
+    """Exact modularity of the parallel Louvain partition."""
+    return gco.louvain(edges(spark, sf_dir), seed=42)[1]
+
+
+@register("r15_null_model")
+def r15_null_model(spark, sf_dir):
+    """Modularity of Louvain on degree-preserving randomised graphs (2 replicates, batched swaps)."""
+    return gco.null_model_modularity(edges(spark, sf_dir), rewires=2, seed=42, rounds=3)
