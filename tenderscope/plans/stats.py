@@ -128,3 +128,26 @@ def v25_calibration_curve(spark, sf_dir):
     """10-bin calibration of procedure_risk against label >= 1."""
     f = features(spark, sf_dir).withColumn("y", (F.col("risk_label") >= 1).cast("int"))
     return st.calibration_curve(f, "y", "procedure_risk")
+
+
+@register("t08_delong_value_vs_procedure", r6=("auc_a", "auc_b", "auc_diff", "se", "z", "ci_low", "ci_high"), sql=F4_SQL + """,
+d AS (SELECT CASE WHEN risk_label >= 1 THEN 1 ELSE 0 END AS y, contract_value_log AS a, procedure_risk AS b FROM rq2_features),
+ta AS (SELECT a AS s, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y <> 1) AS neg FROM d GROUP BY a),
+tb AS (SELECT b AS s, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y <> 1) AS neg FROM d GROUP BY b),
+tot AS (SELECT COUNT(*) FILTER (WHERE y = 1) AS m, COUNT(*) FILTER (WHERE y <> 1) AS n FROM d),
+ca AS (SELECT s, (SUM(neg) OVER (ORDER BY s) - 0.5 * neg) / n AS v10, (m - SUM(pos) OVER (ORDER BY s) + 0.5 * pos) / m AS v01 FROM ta, tot),
+cb AS (SELECT s, (SUM(neg) OVER (ORDER BY s) - 0.5 * neg) / n AS v10, (m - SUM(pos) OVER (ORDER BY s) + 0.5 * pos) / m AS v01 FROM tb, tot),
+p AS (SELECT d.y, ca.v10 AS v10_a, ca.v01 AS v01_a, cb.v10 AS v10_b, cb.v01 AS v01_b FROM d JOIN ca ON d.a = ca.s JOIN cb ON d.b = cb.s),
+o AS (SELECT COUNT(*) FILTER (WHERE y = 1) AS m, COUNT(*) FILTER (WHERE y <> 1) AS n,
+             AVG(v10_a) FILTER (WHERE y = 1) AS auc_a, AVG(v10_b) FILTER (WHERE y = 1) AS auc_b,
+             VAR_SAMP(v10_a) FILTER (WHERE y = 1) AS s10_aa, VAR_SAMP(v10_b) FILTER (WHERE y = 1) AS s10_bb,
+             COVAR_SAMP(v10_a, v10_b) FILTER (WHERE y = 1) AS s10_ab,
+             VAR_SAMP(v01_a) FILTER (WHERE y <> 1) AS s01_aa, VAR_SAMP(v01_b) FILTER (WHERE y <> 1) AS s01_bb,
+             COVAR_SAMP(v01_a, v01_b) FILTER (WHERE y <> 1) AS s01_ab FROM p),
+v AS (SELECT *, SQRT(GREATEST((s10_aa + s10_bb - 2 * s10_ab) / m + (s01_aa + s01_bb - 2 * s01_ab) / n, 0.0)) AS se FROM o)
+SELECT auc_a, auc_b, auc_a - auc_b AS auc_diff, se, (auc_a - auc_b) / se AS z,
+       auc_a - auc_b - 1.959963984540054 * se AS ci_low, auc_a - auc_b + 1.959963984540054 * se AS ci_high FROM v""")
+def t08_delong_value_vs_procedure(spark, sf_dir):
+    """Paired DeLong test, log value vs procedure risk as scores of label >= 1."""
+    f = features(spark, sf_dir).withColumn("y", (F.col("risk_label") >= 1).cast("int"))
+    return st.delong_paired(f, "y", "contract_value_log", "procedure_risk")

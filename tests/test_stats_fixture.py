@@ -38,3 +38,13 @@ def test_risk_class(spark):
 def test_anova_chi2_pvalues():
     assert st.f_survival(3.0, 2, 10) == pytest.approx(0.0954, abs=1e-4)
     assert st.chi2_survival(3.84, 1) == pytest.approx(0.05, abs=1e-3)
+
+
+def test_delong_auc_matches(spark):
+    df = spark.createDataFrame([(0, .1, .2), (0, .4, .1), (1, .35, .9), (1, .8, .3), (0, .2, .5), (1, .6, .6)],
+                               "y int, a double, b double")
+    r = st.delong_paired(df, "y", "a", "b").first()
+    ra = st.roc_pr_auc(df, "y", "a").first()["roc_auc"]
+    rb = st.roc_pr_auc(df, "y", "b").first()["roc_auc"]
+    assert r["auc_a"] == pytest.approx(ra) and r["auc_b"] == pytest.approx(rb)
+    assert r["se"] > 0
