@@ -35,7 +35,7 @@ class QuerySpec:
 
 REGISTRY: dict[str, QuerySpec] = {}
 
-QUERY_MODULES = ("catalogue", "history", "features", "graph", "stats", "ml", "integration", "audits")
+QUERY_MODULES = ("catalogue", "history", "features", "graph", "stats", "ml", "integration", "audits", "views")
 
 
 def register(name: str, sql: str | None = None, r6=(), r4=(), exact=(), headline: bool = False):
