@@ -234,3 +234,105 @@ def v27_risk_dependency_fit(spark, sf_dir):
     from .integration import buyers
     return vw.linear_fit(rule_predictions(spark, sf_dir).join(buyers(spark, sf_dir), "buyer_id"),
                          "ensemble_risk_prob", "buyer_dependency_normalized")
+
+
+# ---- more sampling / model-evaluation / graph viewer queries ---------------------
+
+@register("t16_price_baseline_rmse", r6=("rmse_model", "rmse_baseline", "rmse_reduction", "r2"), sql="WITH " + PRICE_SQL + """,
+med AS (SELECT cpv_division, MEDIAN(log_price) AS gm FROM rq3_features GROUP BY 1),
+glob_m AS (SELECT MEDIAN(log_price) AS g, AVG(log_price) AS mean FROM rq3_features),
+j AS (SELECT f.log_price AS y, f.log_estimated_price AS p, COALESCE(m.gm, g) AS base, mean FROM rq3_features f
+      LEFT JOIN med m USING (cpv_division), glob_m)
+SELECT SQRT(AVG((y - p) * (y - p))) AS rmse_model, SQRT(AVG((y - base) * (y - base))) AS rmse_baseline,
+       1 - SQRT(AVG((y - p) * (y - p))) / SQRT(AVG((y - base) * (y - base))) AS rmse_reduction,
+       1 - SUM((y - p) * (y - p)) / SUM((y - mean) * (y - mean)) AS r2 FROM j""")
+def t16_price_baseline_rmse(spark, sf_dir):
+    """RMSE of a price predictor (here the log estimate) vs the CPV-median baseline, and R²."""
+    f = pr.price_proxy(C(spark, sf_dir))
+    return pr.median_baseline_rmse(f, "cpv_division", "log_price", "log_estimated_price")
+
+
+@register("b4_class_balanced_sample", sql=f"""
+WITH d AS (SELECT *, CASE WHEN bid_count <= 1 THEN 1 ELSE 0 END AS single FROM contracts_base),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY single ORDER BY md5('42|' || contract_id || '|' || supplier_id || '|' || CAST(award_date AS VARCHAR)),
+                                   contract_id, supplier_id, award_date) AS rn FROM d),
+pos AS (SELECT * FROM r WHERE single >= 1 AND rn <= 2000),
+neg AS (SELECT * FROM r WHERE single < 1 AND rn <= 4000 - (SELECT COUNT(*) FROM pos))
+SELECT single, COUNT(*) AS rows, COUNT(DISTINCT contract_id) AS contracts FROM (SELECT * FROM pos UNION ALL SELECT * FROM neg) GROUP BY single""")
+def b4_class_balanced_sample(spark, sf_dir):
+    """Up to n/2 positives (single bid), the rest negatives, md5-seeded; counts per class (n = 4000)."""
+    c = C(spark, sf_dir).withColumn("single", F.when(F.col("bid_count") <= 1, 1).otherwise(0))
+    keyed = c.withColumn("_k", F.concat_ws("|", F.col("contract_id"), F.col("supplier_id"), F.col("award_date").cast("string")))
+    s = smp.class_balanced_sample(keyed, "single", 4000, 42, ["contract_id", "supplier_id", "award_date"])
+    return s.groupBy("single").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("contract_id").alias("contracts"))
+
+
+@register("b6_hash_split_counts")
+def b6_hash_split_counts(spark, sf_dir):
+    """Deterministic 75/25 hash split (xxhash64 of the row key), rows per split."""
+    s = smp.hash_split(C(spark, sf_dir), ["contract_id", "supplier_id", "award_date"], 25, 42)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("b10_stratified_folds", sql=f"""
+WITH d AS (SELECT *, CASE WHEN bid_count <= 1 THEN 1 ELSE 0 END AS single FROM contracts_base),
+f AS (SELECT single, (ROW_NUMBER() OVER (PARTITION BY single ORDER BY md5('42|' || contract_id || '|' || supplier_id || '|' || CAST(award_date AS VARCHAR)),
+                                         contract_id, supplier_id, award_date) - 1) % 5 AS fold FROM d)
+SELECT single, CAST(fold AS INTEGER) AS fold, COUNT(*) AS rows FROM f GROUP BY 1, 2""")
+def b10_stratified_folds(spark, sf_dir):
+    """5 stratified folds (round-robin within class in md5 order), rows per (class, fold)."""
+    c = C(spark, sf_dir).withColumn("single", F.when(F.col("bid_count") <= 1, 1).otherwise(0))
+    f = smp.stratified_folds(c, "single", 5, 42, ["contract_id", "supplier_id", "award_date"])
+    return f.groupBy("single", "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("v09_community_sizes", sql="WITH " + REGION_SQL + """
+SELECT community_id, COUNT(*) AS nodes FROM region_part GROUP BY 1 ORDER BY nodes DESC, community_id LIMIT 12""")
+def v09_community_sizes(spark, sf_dir):
+    """The 12 largest communities (region partition)."""
+    p = gb.region_partition(C(spark, sf_dir))
+    return p.groupBy("community_id").agg(F.count(F.lit(1)).alias("nodes")).orderBy(F.col("nodes").desc(), "community_id").limit(12)
+
+
+@register("v12_top_nodes_by_degree", sql="WITH " + EDGES_SQL + """,
+deg AS (SELECT node_id, CASE WHEN node_id LIKE 'B\\_%' ESCAPE '\\' THEN 'buyer' ELSE 'supplier' END AS node_type,
+               COUNT(*) AS degree FROM inc GROUP BY node_id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_type ORDER BY degree DESC, node_id) AS rn FROM deg)
+SELECT node_id, node_type, degree, rn AS rank FROM r WHERE rn <= 10""")
+def v12_top_nodes_by_degree(spark, sf_dir):
+    """Top 10 nodes by degree per node type (skew-safe top-k)."""
+    from ..operators.common import top_k_per_group
+    m = gb.node_metrics(edges(spark, sf_dir)).select("node_id", "node_type", "degree")
+    return top_k_per_group(m, ["node_type"], [F.col("degree").desc(), F.col("node_id")], 10, rank_col="rank",
+                           salt_col="node_id").select("node_id", "node_type", "degree", F.col("rank").cast("long").alias("rank"))
+
+
+@register("v10_community_edges", r4=("weight",), sql="WITH " + EDGES_SQL + ",\n" + REGION_SQL + """,
+top1 AS (SELECT community_id FROM region_part GROUP BY 1 ORDER BY COUNT(*) DESC, community_id LIMIT 1),
+mem AS (SELECT node_id FROM region_part WHERE community_id IN (SELECT community_id FROM top1))
+SELECT src, dst, weight, contracts FROM edges WHERE src IN (SELECT node_id FROM mem) AND dst IN (SELECT node_id FROM mem)
+ORDER BY weight DESC, src, dst LIMIT 150""")
+def v10_community_edges(spark, sf_dir):
+    """Edges between members of the largest community, first 150 by weight."""
+    c = C(spark, sf_dir)
+    p = gb.region_partition(c)
+    top1 = p.groupBy("community_id").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "community_id").limit(1)
+    mem = p.join(top1.select("community_id"), "community_id", "left_semi").select("node_id")
+    e = gb.bipartite_edges(c)
+    e = e.join(mem.withColumnRenamed("node_id", "src"), "src", "left_semi").join(mem.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    return e.orderBy(F.col("weight").desc(), "src", "dst").limit(150).select("src", "dst", "weight", "contracts")
+
+
+@register("r23_neighbourhood", sql="WITH " + EDGES_SQL + """,
+w AS (SELECT node_id, SUM(weight) AS exposure FROM inc GROUP BY node_id),
+seed AS (SELECT node_id FROM w ORDER BY exposure DESC, node_id LIMIT 1),
+cand AS (SELECT node_id, MIN(s) AS s FROM (SELECT node_id, 0 AS s FROM seed UNION ALL
+         SELECT other, 1 FROM inc WHERE node_id IN (SELECT node_id FROM seed)) GROUP BY node_id)
+SELECT node_id FROM cand JOIN w USING (node_id) ORDER BY s, exposure DESC, node_id LIMIT 40""")
+def r23_neighbourhood(spark, sf_dir):
+    """The heaviest node and its 1-hop neighbours, capped at 40 by exposure (seed first)."""
+    e = edges(spark, sf_dir)
+    w = gb.incidence(e).groupBy("node_id").agg(F.sum("weight").alias("exposure"))
+    seed = w.orderBy(F.col("exposure").desc(), "node_id").limit(1).select("node_id")
+    keep, _links = gb.neighbourhood(e, seed, w, cap=40)
+    return keep
