@@ -162,3 +162,29 @@ def c11_access_log_summary(spark, sf_dir):
     """C11: role/action filters, literal resource search and event counts."""
     log = al.filter_log(al.parse_access_log(_log_lines(spark, sf_dir)), roles=["admin", "viewer"], search='"k": 1')
     return al.log_summary(log)
+
+
+M10_SQL = F4_SQL + ",\nr AS (SELECT " + _K04_PAIRS + """ FROM rq2_features),
+g AS (""" + _K04_ROWS + """),
+cov AS (SELECT """ + ", ".join(f"COUNT({f}) / COUNT(*) AS c_{f}" for f in K04_FEATURES) + """ FROM rq2_features),
+cv AS (""" + "\nUNION ALL ".join(f"SELECT '{f}' AS feature, c_{f} AS completeness FROM cov" for f in K04_FEATURES) + """)
+SELECT feature, max_abs_corr, completeness,
+       CASE WHEN max_abs_corr >= 0.55 OR completeness < 0.5 THEN 'rejected' ELSE 'kept' END AS disposition,
+       CASE WHEN max_abs_corr >= 0.55 THEN 'proxy_gate' WHEN completeness < 0.5 THEN 'coverage' ELSE 'passed' END AS decisive_gate
+FROM g JOIN cv USING (feature)"""
+
+
+@register("m10_feature_disposition", r6=("max_abs_corr", "completeness"), sql=M10_SQL)
+def m10_feature_disposition(spark, sf_dir):
+    """Candidate features -> kept / rejected with the decisive gate (proxy correlation, coverage)."""
+    f = features(spark, sf_dir)
+    gate = au.proxy_gate(f, K04_FEATURES, K04_TARGETS)
+    cov = f.agg(*[(F.count(c) / F.count(F.lit(1))).alias(c) for c in K04_FEATURES])
+    cov_long = cov.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("completeness"))
+                                              for c in K04_FEATURES])).alias("s")).select("s.*")
+    j = gate.join(cov_long, "feature")
+    rejected = (F.col("max_abs_corr") >= 0.55) | (F.col("completeness") < 0.5)
+    return j.select("feature", "max_abs_corr", "completeness",
+                    F.when(rejected, "rejected").otherwise("kept").alias("disposition"),
+                    F.when(F.col("max_abs_corr") >= 0.55, "proxy_gate").when(F.col("completeness") < 0.5, "coverage")
+                    .otherwise("passed").alias("decisive_gate"))

@@ -336,3 +336,35 @@ def r23_neighbourhood(spark, sf_dir):
     seed = w.orderBy(F.col("exposure").desc(), "node_id").limit(1).select("node_id")
     keep, _links = gb.neighbourhood(e, seed, w, cap=40)
     return keep
+
+
+@register("r16_buyer_dominant_cpv", sql="""
+WITH c AS (SELECT buyer_id, cpv_division, COUNT(*) AS n FROM contracts_base WHERE buyer_id IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY buyer_id ORDER BY n DESC, cpv_division) AS rn FROM c)
+SELECT buyer_id, cpv_division AS dominant_cpv, n AS contracts_in_cpv FROM r WHERE rn = 1""")
+def r16_buyer_dominant_cpv(spark, sf_dir):
+    """Each buyer's modal CPV division (ties: smallest code), via a skew-safe top-1."""
+    from ..operators.common import top_k_per_group
+    c = C(spark, sf_dir).where(F.col("buyer_id").isNotNull()).groupBy("buyer_id", "cpv_division") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    t = top_k_per_group(c, ["buyer_id"], [F.col("n").desc(), F.col("cpv_division")], 1, salt_col="cpv_division")
+    return t.select("buyer_id", F.col("cpv_division").alias("dominant_cpv"), F.col("n").alias("contracts_in_cpv"))
+
+
+@register("r16_sample_coverage")
+def r16_sample_coverage(spark, sf_dir):
+    """Edges, nodes and value retained by the 35 % decile sample; giant share of sample vs full; 0.10 gate."""
+    from ..operators.graph import iterative as gi
+    e = edges(spark, sf_dir)
+    s = smp.value_stratified_edge_sample(e, 0.35, 42)
+    full = e.agg(F.count(F.lit(1)).alias("e"), F.sum("weight").alias("v"))
+    samp = s.agg(F.count(F.lit(1)).alias("e"), F.sum("weight").alias("v"))
+    n_full = gb.incidence(e).select("node_id").distinct().count()
+    n_samp = gb.incidence(s).select("node_id").distinct().count()
+    g_full = gi.component_summary(gi.connected_components(e)).first()["giant_share"]
+    g_samp = gi.component_summary(gi.connected_components(s)).first()["giant_share"]
+    f, m = full.first(), samp.first()
+    row = (m["e"] / f["e"], n_samp / n_full, m["v"] / f["v"], float(g_full), float(g_samp),
+           abs(float(g_full) - float(g_samp)) <= 0.10)
+    return spark.createDataFrame([row], "edge_retained double, node_retained double, value_retained double, "
+                                        "giant_share_full double, giant_share_sample double, gate_pass boolean")
