@@ -53,3 +53,15 @@ def m18_price_anomalies(spark, sf_dir):
 def m17_price_metrics(spark, sf_dir):
     """Calibrated contamination, consensus rate and count, LOF∩GB overlap."""
     return price_flags(spark, sf_dir)[1]
+
+
+@register("m09_permutation_importance")
+def m09_permutation_importance(spark, sf_dir):
+    """Permutation importance (AUC drop) of two governance features for the GBT member, on the test year."""
+    cols = ["contract_value_log", "buyer_concentration_hhi"]
+    p = gm.ModelParams(rf_trees=20, rf_depth=6, gbt_iter=10, folds=2)
+    d = gm._prepare(features(spark, sf_dir), cols)
+    train = gm._with_weights(d.where(d.award_year.between(*TRAIN)))
+    model = gm._models(cols, p).fit(train)
+    test = d.where(d.award_year.between(*TEST)).withColumn("weight", gm.F.lit(1.0))
+    return gm.permutation_importance(model, test, cols)
