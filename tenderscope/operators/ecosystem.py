@@ -56,7 +56,7 @@ def buyer_ecosystem(contracts: DataFrame, top_n: int = 5, salt_buckets: int = 16
     with millions of suppliers is never sorted by one task. Ties at the N-th
     place do not change the top-N *sum*.
     """
-    pairs = buyer_supplier_values(contracts, with_name=True).cache()
+    pairs = buyer_supplier_values(contracts, with_name=True)
     per_buyer = (pairs.groupBy("buyer_id")
                  .agg(F.min("buyer_name").alias("buyer_name"),
                       F.sum("total_value").alias("buyer_total"),
