@@ -151,27 +151,25 @@ def supplier_tiers(supplier_master: DataFrame, tiers: int = 4) -> DataFrame:
 def hist_hhi_asof(contracts: DataFrame) -> DataFrame:
     """F3, as-of form: HHI of supplier shares using all contracts up to each year.
 
-    Per (buyer, supplier, year) sums -> running sums over years (RANGE frame on
-    the year, so ties are impossible) -> Σ share² over the suppliers active so far.
-    Supplier-level and bounded in (0, 1]. One row per (buyer, award_year) that has
-    contracts.
+    Supplier-level and bounded in (0, 1]. Without an as-of join: each
+    (buyer, supplier) pair's cumulative value changes only in years where the
+    pair is active, so Σ_s cum² grows by cum² − previous cum² in those years.
+    Per (buyer, year) increments of Σ cum² and Σ value are summed, then run
+    over the buyer's active years (a window over years, bounded by the number
+    of years). One row per (buyer, award_year) with contracts.
     """
     valid = _valid_pairs(contracts)
     pys = valid.groupBy("buyer_id", "supplier_id", "award_year").agg(F.sum("contract_value").alias("_v"))
-    w_sup = Window.partitionBy("buyer_id", "supplier_id").orderBy("award_year") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    cum = pys.withColumn("_cum", F.sum("_v").over(w_sup))
-    # every (buyer, year) with activity needs each supplier's latest cumulative value
-    years = valid.select("buyer_id", "award_year").distinct()
-    sup_first = cum.select("buyer_id", "supplier_id", F.col("award_year").alias("_y"), "_cum")
-    # as-of join: for each buyer-year, each supplier's cum at its last year <= that year
-    j = (years.join(sup_first, "buyer_id").where(F.col("_y") <= F.col("award_year")))
-    w_last = Window.partitionBy("buyer_id", "award_year", "supplier_id").orderBy(F.col("_y").desc())
-    last = j.withColumn("_rn", F.row_number().over(w_last)).where(F.col("_rn") == 1)
-    return (last.groupBy("buyer_id", "award_year")
-            .agg(F.sum("_cum").alias("_t"), F.sum(F.col("_cum") * F.col("_cum")).alias("_t2"))
-            .select("buyer_id", "award_year",
-                    (F.col("_t2") / F.nullif(F.col("_t") * F.col("_t"), F.lit(0.0))).alias("hhi_asof")))
+    w_pair = Window.partitionBy("buyer_id", "supplier_id").orderBy("award_year")
+    cum = pys.withColumn("_cum", F.sum("_v").over(w_pair.rowsBetween(Window.unboundedPreceding, 0)))
+    inc = cum.withColumn("_d2", F.col("_cum") * F.col("_cum")
+                         - F.pow(F.coalesce(F.lag("_cum").over(w_pair), F.lit(0.0)), 2))
+    per_year = inc.groupBy("buyer_id", "award_year").agg(F.sum("_d2").alias("_d2"), F.sum("_v").alias("_v"))
+    w_buyer = Window.partitionBy("buyer_id").orderBy("award_year").rowsBetween(Window.unboundedPreceding, 0)
+    run = (per_year.withColumn("_s2", F.sum("_d2").over(w_buyer))
+           .withColumn("_t", F.sum("_v").over(w_buyer)))
+    return run.select("buyer_id", "award_year",
+                      (F.col("_s2") / F.nullif(F.col("_t") * F.col("_t"), F.lit(0.0))).alias("hhi_asof"))
 
 
 def hist_hhi_rowlevel(contracts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ the published self-join form, both against the published SQL as oracle."""
 from __future__ import annotations
 
 from ..operators import history as hist
-from ..sources.contracts import contracts_from_testdata
+from .catalogue import C
 from .registry import register
 
 Q11_SQL = """
@@ -47,22 +47,22 @@ Q14_R4 = ()
 @register("q11_supplier_behavior", sql=Q11_SQL, r6=Q11_R6, r4=Q11_R4, exact=Q11_EX, headline=True)
 def q11_supplier_behavior(spark, sf_dir):
     """Q11 (window form, parity counts): strictly-prior supplier history, >= 3 prior."""
-    return hist.supplier_behavior(contracts_from_testdata(spark, sf_dir), parity=True)
+    return hist.supplier_behavior(C(spark, sf_dir), parity=True)
 
 
 @register("q11_supplier_behavior_selfjoin", sql=Q11_SQL, r6=Q11_R6, r4=Q11_R4, exact=Q11_EX)
 def q11_supplier_behavior_selfjoin(spark, sf_dir):
     """Q11 via the published self join with a range residual."""
-    return hist.supplier_behavior_selfjoin(contracts_from_testdata(spark, sf_dir))
+    return hist.supplier_behavior_selfjoin(C(spark, sf_dir))
 
 
 @register("q14_temporal_windows", sql=Q14_SQL, r6=Q14_R6, r4=Q14_R4, exact=Q14_EX, headline=True)
 def q14_temporal_windows(spark, sf_dir):
     """Q14 (window form, parity counts): trailing-365-day supplier activity."""
-    return hist.temporal_windows(contracts_from_testdata(spark, sf_dir), parity=True)
+    return hist.temporal_windows(C(spark, sf_dir), parity=True)
 
 
 @register("q14_temporal_windows_selfjoin", sql=Q14_SQL, r6=Q14_R6, r4=Q14_R4, exact=Q14_EX)
 def q14_temporal_windows_selfjoin(spark, sf_dir):
     """Q14 via the published self join with a trailing-year residual."""
-    return hist.temporal_windows_selfjoin(contracts_from_testdata(spark, sf_dir))
+    return hist.temporal_windows_selfjoin(C(spark, sf_dir))
