@@ -22,8 +22,13 @@ def _missing(c: Column) -> Column:
 
 
 def _pearson_cols(a: Column, b: Column) -> Column:
-    """Pearson r from population moments; NULL when either side is constant."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    """Pearson r from population moments; NULL when either side is constant.
+
+    Constancy is decided exactly (min = max), not by a floating-point standard
+    deviation that can come out as 1e-17 for a constant column."""
+    const = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
+    return F.when(const, F.lit(None).cast("double")).otherwise(
+        F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def coverage_aware_corr(df: DataFrame, left: str, right: str) -> DataFrame:
