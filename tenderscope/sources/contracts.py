@@ -230,6 +230,15 @@ def canonical_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{root}/curated/contracts_base/{_source_signature(spark, sf_dir)}"
     fs, p = _hadoop_fs(spark, f"{path}/_SUCCESS")
     if not fs.exists(p):
-        materialize(contracts_from_testdata(spark, sf_dir), path, partition_by="award_year")
+        # write to a private folder, then publish it with one rename, so concurrent
+        # first readers never see a half-written table
+        import uuid
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+        materialize(contracts_from_testdata(spark, sf_dir), tmp, partition_by="award_year")
+        jvm = spark.sparkContext._jvm
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path)):
+            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path))
+        if not fs.exists(p):
+            path = tmp                   # another writer won the rename race with a partial folder
     df = spark.read.parquet(path)
     return df.select(*CANONICAL_COLUMNS)
