@@ -111,3 +111,20 @@ def linear_fit(df: DataFrame, y: str, x: str) -> DataFrame:
     """Least-squares slope and intercept of y ~ x."""
     return df.agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
                   F.regr_r2(F.col(y), F.col(x)).alias("r2"), F.regr_count(F.col(y), F.col(x)).alias("n"))
+
+
+def width_histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int, group: str | None = None) -> DataFrame:
+    """Equal-width histogram on [lo, hi] (values at hi fall in the last bin), optionally per group."""
+    b = F.least(F.greatest(F.floor((F.col(col) - lo) / ((hi - lo) / bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    keys = [group] if group else []
+    return df.where(F.col(col).isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def explanation_text(predictions: DataFrame) -> DataFrame:
+    """Per-row explanation from the rule factors present (NULL parts are skipped)."""
+    why = F.concat_ws("; ",
+                      F.when(F.col("procedure_type").rlike("(?i)NEGOTIATED|OUTRIGHT"), F.lit("non-open procedure")),
+                      F.when(F.col("bid_count") <= 1, F.lit("single bid")),
+                      F.when(F.col("contract_amendments") > 2, F.lit("many amendments")),
+                      F.when(F.col("ensemble_risk_prob") >= 0.75, F.lit("high predicted risk")))
+    return predictions.select("contract_id", "supplier_id", "buyer_id", "ensemble_risk_prob", why.alias("explanation"))

@@ -388,3 +388,64 @@ def c10_cascading_high_risk_buyers(spark, sf_dir):
     from ..operators import filters as flt
     p = flt.apply_risk_filter(flt.apply_common_filters(rule_predictions(spark, sf_dir), year_range=(1996, 2000)), None)
     return flt.cascading_options(p, "buyer_id")
+
+
+@register("v07_conductance_histogram", sql="WITH " + EDGES_SQL + ",\n" + REGION_SQL + """,
+per AS (SELECT p.community_id, COUNT(*) AS vol, COUNT(*) FILTER (WHERE p.community_id != q.community_id) AS cut
+        FROM inc i JOIN region_part p ON i.node_id = p.node_id JOIN region_part q ON i.other = q.node_id GROUP BY 1),
+tot AS (SELECT 2 * COUNT(*) AS v FROM edges),
+c AS (SELECT cut / LEAST(vol, v - vol)::DOUBLE AS conductance FROM per, tot WHERE LEAST(vol, v - vol) > 0)
+SELECT CAST(LEAST(GREATEST(FLOOR((conductance - 0.0) / 0.1), 0), 9) AS INTEGER) AS bin, COUNT(*) AS n FROM c GROUP BY 1""")
+def v07_conductance_histogram(spark, sf_dir):
+    """10-bin histogram of community conductance (region partition)."""
+    from ..operators.graph import metrics as gm
+    c = C(spark, sf_dir)
+    return vw.width_histogram(gm.conductance(gb.bipartite_edges(c), gb.region_partition(c)), "conductance", 0.0, 1.0, 10)
+
+
+@register("v07_centrality_histogram", sql="WITH " + EDGES_SQL + """,
+deg AS (SELECT node_id, COUNT(*) AS degree, SUM(weight) AS wd FROM inc GROUP BY node_id),
+mx AS (SELECT GREATEST(MAX(degree)::DOUBLE, 1.0) AS md, GREATEST(MAX(wd), 1.0) AS mw FROM deg),
+c AS (SELECT CASE WHEN node_id LIKE 'B\\_%' ESCAPE '\\' THEN 'buyer' ELSE 'supplier' END AS node_type,
+             0.6 * degree / md + 0.4 * wd / mw AS centrality FROM deg, mx)
+SELECT node_type, CAST(LEAST(GREATEST(FLOOR(centrality / 0.05), 0), 19) AS INTEGER) AS bin, COUNT(*) AS n FROM c GROUP BY 1, 2""")
+def v07_centrality_histogram(spark, sf_dir):
+    """20-bin centrality histogram per node type."""
+    return vw.width_histogram(gb.sql_centrality(edges(spark, sf_dir)), "centrality", 0.0, 1.0, 20, group="node_type")
+
+
+@register("v15_explanations", sql="WITH " + STANDIN_SQL + """
+SELECT contract_id, supplier_id, buyer_id, ensemble_risk_prob,
+       CONCAT_WS('; ', CASE WHEN regexp_matches(procedure_type, 'NEGOTIATED|OUTRIGHT', 'i') THEN 'non-open procedure' END,
+                       CASE WHEN bid_count <= 1 THEN 'single bid' END,
+                       CASE WHEN contract_amendments > 2 THEN 'many amendments' END,
+                       CASE WHEN ensemble_risk_prob >= 0.75 THEN 'high predicted risk' END) AS explanation
+FROM preds""")
+def v15_explanations(spark, sf_dir):
+    """Per-row explanation text from the rule factors present."""
+    return vw.explanation_text(rule_predictions(spark, sf_dir))
+
+
+@register("k07_expectation_bands")
+def k07_expectation_bands(spark, sf_dir):
+    """Numeric bands computed from the data (rule consensus rate 4-8 %, unified risk in [0, 1],
+    at-risk buyers 20-45 %, hub ratio > 5) as an expectation table with PASS/FAIL."""
+    from ..operators import audit as au
+    from .integration import rule_anomalies, unified_rules
+    rate = rule_anomalies(spark, sf_dir).agg(F.avg(F.col("consensus_flag").cast("double"))).first()[0]
+    u = unified_rules(spark, sf_dir).agg(F.min("unified_risk_score"), F.max("unified_risk_score")).first()
+    at_risk = vw.share_above(eco.buyer_ecosystem(C(spark, sf_dir)), "dependency_ratio", 0.5).first()["share_above"]
+    hub = vw.hub_concentration(gb.node_metrics(edges(spark, sf_dir))).first()["top_decile_to_mean"]
+    return au.expectation_table(spark, [
+        ("consensus_rate", float(rate or 0.0), 0.04, 0.08), ("unified_min", float(u[0]), 0.0, 1.0),
+        ("unified_max", float(u[1]), 0.0, 1.0), ("at_risk_buyer_share", float(at_risk or 0.0), 0.20, 0.45),
+        ("hub_ratio", float(hub or 0.0), 5.0, float("inf"))])
+
+
+@register("v26_predicted_vs_actual")
+def v26_predicted_vs_actual(spark, sf_dir):
+    """Predicted vs actual log price of the market model (actual = predicted + residual)."""
+    from .ml import price_flags
+    f = price_flags(spark, sf_dir)[0]
+    return f.select("contract_id", "predicted_log_price", (F.col("predicted_log_price") + F.col("gb_residual")).alias("actual_log_price"),
+                    "residual_source")
