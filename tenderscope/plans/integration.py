@@ -287,3 +287,32 @@ FROM preds p JOIN modal m USING (buyer_id) GROUP BY p.buyer_id""")
 def v19_buyer_profile(spark, sf_dir):
     """V19: 'why flagged' profile per buyer."""
     return ig.entity_profile(rule_predictions(spark, sf_dir), "buyer_id")
+
+
+@register("m07_buyer_risk_profile", r6=("negotiated_or_restricted_rate", "true_single_bid_rate"), exact=("mean_risk",),
+          sql="WITH " + STANDIN_SQL + """
+SELECT buyer_id, COUNT(*) AS contracts, ROUND(SUM(ensemble_risk_prob), 4) / COUNT(ensemble_risk_prob) AS mean_risk,
+       AVG(CAST(regexp_matches(procedure_type, 'NEGOTIATED|RESTRICTED', 'i') AS DOUBLE)) AS negotiated_or_restricted_rate,
+       AVG(CAST(bid_count <= 1 AS DOUBLE)) AS true_single_bid_rate
+FROM preds GROUP BY buyer_id""")
+def m07_buyer_risk_profile(spark, sf_dir):
+    """Per-buyer mean risk, negotiated/restricted rate and null-skipping single-bid rate."""
+    return gov.buyer_risk_profile(rule_predictions(spark, sf_dir))
+
+
+@register("t12_amendment_enrichment", r6=("high_amendment_rate", "low_amendment_rate", "enrichment"), sql="WITH " + STANDIN_SQL + """
+SELECT AVG(CASE WHEN risk_class = 'HIGH' THEN CAST(contract_amendments > 0 AS DOUBLE) END) AS high_amendment_rate,
+       AVG(CASE WHEN risk_class = 'LOW' THEN CAST(contract_amendments > 0 AS DOUBLE) END) AS low_amendment_rate,
+       AVG(CASE WHEN risk_class = 'HIGH' THEN CAST(contract_amendments > 0 AS DOUBLE) END)
+       / NULLIF(AVG(CASE WHEN risk_class = 'LOW' THEN CAST(contract_amendments > 0 AS DOUBLE) END), 0) AS enrichment
+FROM preds""")
+def t12_amendment_enrichment(spark, sf_dir):
+    """Amendment rate among HIGH-risk rows over the rate among LOW-risk rows."""
+    return gov.amendment_enrichment(rule_predictions(spark, sf_dir))
+
+
+@register("v18_anomaly_audit_trail")
+def v18_anomaly_audit_trail(spark, sf_dir):
+    """Top 300 anomalies of the price model with z = residual / sd and reason text."""
+    from ..operators import views as vw
+    return vw.anomaly_audit_trail(price_flags(spark, sf_dir)[0], 300)
