@@ -100,3 +100,14 @@ def test_safe_join_guard(spark):
         safe_left_join(left, dup, ["contract_id"])
     ok = safe_left_join(left, dup.groupBy("contract_id").agg(F.max("s").alias("s")), ["contract_id"])
     assert ok.count() == 3
+
+
+def test_parity_mode_fans_out_on_contract_id(h1):
+    """The published joins on the non-unique contract id multiply rows; the default mode keeps one row per input row."""
+    base = gov.governance_features(h1)
+    par = gov.governance_features(h1, parity=True)
+    n_in = h1.where(F.col("buyer_id").isNotNull() & F.col("supplier_id").isNotNull() & (F.col("contract_value") > 0)).count()
+    assert base.count() == n_in
+    c1_default = base.where(F.col("contract_id") == "c1").count()
+    c1_parity = par.where(F.col("contract_id") == "c1").count()
+    assert c1_default == 2 and c1_parity == 4
