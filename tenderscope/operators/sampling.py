@@ -10,8 +10,20 @@ from .common import global_order_prefix, ntile_from_position, with_scalar
 
 
 def seeded_key(seed: int, *cols) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
-                                                         for c in cols]))
+    """md5(seed|c1|c2|...) with NULL parts as empty strings: a seeded order that
+    does not depend on partitioning or task retries."""
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+
+
+def year_stratified_cap(df: DataFrame, cap: int, year_col: str = "award_year", id_col: str = "contract_id",
+                        tiebreak: list[str] | None = None) -> DataFrame:
+    """B1: at most ``cap`` rows per year in md5(id) order (ties by ``tiebreak`` columns).
+
+    The window is partitioned by year: one sort per year of rows, the
+    structure of the published panel (a year's rows are its own task)."""
+    w = Window.partitionBy(year_col).orderBy(F.md5(F.col(id_col).cast("string")), *(tiebreak or [id_col]))
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def value_stratified_edge_sample(edges: DataFrame, frac: float = 0.35, seed: int = 42) -> DataFrame:

@@ -26,10 +26,8 @@ SELECT * EXCLUDE (rn) FROM (
     WHERE award_year BETWEEN 1995 AND 2001) WHERE rn <= 5000""")
 def b1_year_stratified_panel(spark, sf_dir):
     """B1: at most 5000 rows per award year, chosen by md5(contract id) (ties by the row's columns)."""
-    from pyspark.sql import Window
     c = C(spark, sf_dir).where(F.col("award_year").between(1995, 2001))
-    w = Window.partitionBy("award_year").orderBy(F.md5("contract_id"), *ROWKEY)
-    return c.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 5000).drop("_rn")
+    return smp.year_stratified_cap(c, 5000, tiebreak=ROWKEY)
 
 
 @register("b3_seeded_sample_10k", sql=f"""
@@ -38,10 +36,8 @@ ORDER BY md5('42|' || {" || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), '')"
          contract_id, supplier_id, buyer_id, award_date, final_price LIMIT 10000""")
 def b3_seeded_sample_10k(spark, sf_dir):
     """Seeded 10,000-row sample of price vs bids (md5 order; the limit is the feature)."""
-    c = C(spark, sf_dir)
     keys = ["contract_id", "supplier_id", "buyer_id", "award_date", "final_price"]
-    k = F.md5(F.concat_ws("|", F.lit("42"), *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in keys]))
-    return c.orderBy(k, *keys).limit(10000).select("contract_id", "supplier_id", "final_price", "bid_count")
+    return smp.seeded_sample(C(spark, sf_dir), 10000, 42, keys).select("contract_id", "supplier_id", "final_price", "bid_count")
 
 
 @register("b8_temporal_split_counts", sql="""
