@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph.iterative import materialize
+from ..session import ensure_checkpoint_dir
 
 #: the word of the corpus contracts: a run of anything but ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
 #: the ASCII white space that separates words
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACE", "table", "written", "let", "batches_of", "shuffle_width", "exclusive_offsets"]
+__all__ = ["WORD", "SPACE", "table", "scratch", "written", "let", "batches_of", "shuffle_width", "exclusive_offsets"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir`` for files of one run."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once below ``spark.checkpoint.dir`` and read back."""
     return materialize(df)

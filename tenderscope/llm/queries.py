@@ -8,10 +8,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import simple8b
 from .cascade import quality_cascade
-from .common import table
+from .common import scratch, table
 from .mixing import mixture_plan
+from .packing import pack
 from .sharding import shard_by_bytes
+from .transducer import count_tokens
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens, 64 open windows per partition."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, _vocabulary("word_bpe_49k.json")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE token counts of every text by finite-state transduction."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, _vocabulary("byte_bpe_50k.json"))
 
 
 def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +109,14 @@ FROM b
 """
 
 
+def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as Simple-8b blocks in ascending doc_id order, then read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scratch(spark, "simple8b")
+    simple8b.write_tokens(docs, out, _vocabulary("word_bpe_49k.json"))
+    return simple8b.read_tokens(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen contiguous shards of near-equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,8 +126,11 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bounded_packing": op1_bounded_packing,
+    "op3_transducer_counts": op3_transducer_counts,
     "op4_curriculum_mixing": op4_curriculum_mixing,
     "op7_quality_cascade": op7_quality_cascade,
+    "op9_simple8b_tokens": op9_simple8b_tokens,
     "op10_byte_shards": op10_byte_shards,
 }
 
