@@ -1,7 +1,7 @@
 """Iterative graph algorithms on DataFrames: connected components (R11) and
 PageRank (R06). Vertices get dense long ids once (materialised), every round
-is a join + aggregate, and lineage is cut with ``checkpoint()`` every few
-rounds so a lost executor recomputes at most those rounds."""
+is a join + aggregate whose result is written below ``spark.checkpoint.dir``, so
+the plan keeps its size and a lost executor recomputes at most one round."""
 
 from __future__ import annotations
 
@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from ...session import ensure_checkpoint_dir
 
-_DEBUG = False
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -51,40 +48,39 @@ def vertex_ids(edges: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame:
     return v.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, key_cols: tuple[str, ...] = (), max_rounds: int = 200,
-                         checkpoint_every: int = 3) -> DataFrame:
+def connected_components(edges: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame:
     """(key..., node_id, component_id) with component_id = smallest node_id
     of the component. ``key_cols`` runs many independent graphs (e.g. removal
     scenarios) in the same job.
 
     Min-label propagation with pointer jumping: each round every vertex takes
     the smallest label among itself and its neighbours, then the label of its
-    label; stops when no label changes (one aggregate per round).
+    label. Every round is written out, so the next one starts from a plain scan;
+    the loop ends when no label changes, however many rounds that takes.
     """
     keys = list(key_cols)
-    vids = vertex_ids(edges, key_cols)
-    e = (edges.join(vids.withColumnRenamed("node_id", "src").withColumnRenamed("vid", "a"), [*keys, "src"])
-         .join(vids.withColumnRenamed("node_id", "dst").withColumnRenamed("vid", "b"), [*keys, "dst"])
-         .select(*keys, "a", "b"))
-    adj = e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint(eager=True)
-    labels = vids.select(*keys, "vid", F.col("vid").alias("label"))
-    for r in range(max_rounds):
-        nbr = (adj.join(labels.withColumnRenamed("vid", "b"), [*keys, "b"])
-               .groupBy(*keys, "a").agg(F.min("label").alias("_m")))
-        step = (labels.join(nbr.withColumnRenamed("a", "vid"), [*keys, "vid"], "left")
-                .select(*keys, "vid", F.least("label", F.coalesce("_m", "label")).alias("label")))
-        jumped = (step.alias("n").join(step.select(*keys, F.col("vid").alias("label"), F.col("label").alias("_l2")),
-                                       [*keys, "label"], "left")
-                  .select(*keys, "vid", F.least("label", F.coalesce("_l2", "label")).alias("label")))
-        jumped = materialize(jumped) if (r + 1) % checkpoint_every == 0 else jumped.cache()
-        changed = (jumped.join(labels.withColumnRenamed("label", "_old"), [*keys, "vid"])
-                   .where(F.col("label") != F.col("_old")).limit(1).count())
-        labels = jumped
-        if changed == 0:
-            break
-    named = labels.join(vids, [*keys, "vid"])
-    comp_name = named.groupBy(*keys, "label").agg(F.min("node_id").alias("component_id"))
-    return named.join(comp_name, [*keys, "label"]).select(*keys, "node_id", "component_id")
+    spark = edges.sparkSession
+    with iterative_plan_settings(spark):
+        vids = materialize(vertex_ids(edges, key_cols))
+        e = (edges.join(vids.withColumnRenamed("node_id", "src").withColumnRenamed("vid", "a"), [*keys, "src"])
+             .join(vids.withColumnRenamed("node_id", "dst").withColumnRenamed("vid", "b"), [*keys, "dst"])
+             .select(*keys, "a", "b"))
+        adj = materialize(e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        labels, changed = vids.select(*keys, "vid", F.col("vid").alias("label")), True
+        while changed:
+            nbr = (adj.join(labels.withColumnRenamed("vid", "b"), [*keys, "b"])
+                   .groupBy(*keys, "a").agg(F.min("label").alias("_m")).withColumnRenamed("a", "vid"))
+            step = materialize(labels.join(nbr, [*keys, "vid"], "left")
+                               .select(*keys, "vid", F.least("label", F.coalesce("_m", "label")).alias("label"),
+                                       F.col("label").alias("_old")))
+            jump = step.select(*keys, F.col("vid").alias("label"), F.col("label").alias("_l2"))
+            moved = materialize(step.join(jump, [*keys, "label"], "left")
+                                .select(*keys, "vid", F.least("label", F.coalesce("_l2", "label")).alias("label"), "_old"))
+            changed = bool(moved.where(F.col("label") != F.col("_old")).limit(1).count())
+            labels = moved.drop("_old")
+        named = labels.join(vids, [*keys, "vid"])
+        comp_name = named.groupBy(*keys, "label").agg(F.min("node_id").alias("component_id"))
+        return named.join(comp_name, [*keys, "label"]).select(*keys, "node_id", "component_id")
 
 
 def component_summary(components: DataFrame) -> DataFrame:
@@ -105,40 +101,40 @@ def giant_component_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     return edges.join(members.withColumnRenamed("node_id", "src"), "src", "left_semi")
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1.0e-6,
-             checkpoint_every: int = 4) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1.0e-6) -> DataFrame:
     """Weighted PageRank of the undirected graph (each edge both ways,
     transition ∝ weight / weighted degree), uniform teleport, dangling mass
-    spread uniformly; stops when the L1 change < n·tol. Ranks sum to 1."""
-    vids = vertex_ids(edges)
-    n = vids.count()
-    e = (edges.join(vids.withColumnRenamed("node_id", "src").withColumnRenamed("vid", "a"), "src")
-         .join(vids.withColumnRenamed("node_id", "dst").withColumnRenamed("vid", "b"), "dst")
-         .select("a", "b", "weight"))
-    und = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    wdeg = und.groupBy("a").agg(F.sum("weight").alias("_wd"))
-    trans = (und.join(wdeg, "a").select("a", "b", (F.col("weight") / F.col("_wd")).alias("p"))).checkpoint(eager=True)
-    # vertices without weight leave their mass to everyone (materialised once)
-    dangling = (vids.select("vid").join(trans.select(F.col("a").alias("vid")).distinct(), "vid", "left_anti")
-                .checkpoint(eager=True))
-    pr = vids.select("vid", F.lit(1.0 / n).alias("pr")).cache()
-    for i in range(max_iter):
-        # dangling mass and the teleport term join as a one-row broadcast
-        dmass = pr.join(dangling, "vid", "left_semi").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("_d"))
-        contrib = trans.join(pr.withColumnRenamed("vid", "a"), "a").groupBy("b").agg(F.sum(F.col("pr") * F.col("p")).alias("_c"))
-        new = (pr.select("vid", F.col("pr").alias("_old")).join(contrib.withColumnRenamed("b", "vid"), "vid", "left")
-               .crossJoin(F.broadcast(dmass))
-               .select("vid", "_old", (alpha * (F.coalesce(F.col("_c"), F.lit(0.0)) + F.col("_d") / n) + (1 - alpha) / n)
-                       .alias("pr")))
-        new = new.cache()
-        # one action per round: materialises the new ranks and measures the change
-        err = new.agg(F.sum(F.abs(F.col("pr") - F.col("_old")))).first()[0]
-        nxt = new.select("vid", "pr")
-        if (i + 1) % checkpoint_every == 0:
-            nxt = materialize(nxt)   # cut lineage with a written table
-        pr = nxt.cache()
-        if _DEBUG:
-            print("pagerank round", i, err, flush=True)
-        if err is not None and err < n * tol:
-            break
-    return pr.join(vids, "vid").select("node_id", F.col("pr").alias("pagerank"))
+    spread uniformly; stops when the L1 change < n·tol. Ranks sum to 1.
+
+    Raises ``RuntimeError`` when ``max_iter`` rounds do not converge. Every round
+    is written out and refers to the previous round by one scan.
+    """
+    spark = edges.sparkSession
+    with iterative_plan_settings(spark):
+        vids = materialize(vertex_ids(edges))
+        n = vids.count()
+        if not n:
+            return vids.select("node_id", F.lit(0.0).alias("pagerank"))
+        e = (edges.join(vids.withColumnRenamed("node_id", "src").withColumnRenamed("vid", "a"), "src")
+             .join(vids.withColumnRenamed("node_id", "dst").withColumnRenamed("vid", "b"), "dst")
+             .select("a", "b", "weight"))
+        und = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+        wdeg = und.groupBy("a").agg(F.sum("weight").alias("_wd"))
+        trans = materialize(und.join(wdeg, "a").select("a", "b", (F.col("weight") / F.col("_wd")).alias("p")))
+        # vertices without weight leave their mass to everyone
+        state = materialize(vids.select("vid").join(trans.select(F.col("a").alias("vid")).distinct()
+                                                    .withColumn("_out", F.lit(True)), "vid", "left")
+                            .select("vid", F.col("_out").isNull().alias("dangling"), F.lit(1.0 / n).alias("pr")))
+        lost = state.where("dangling").agg(F.sum("pr")).first()[0] or 0.0
+        for _ in range(max_iter):
+            contrib = (trans.join(state.select(F.col("vid").alias("a"), "pr"), "a")
+                       .groupBy("b").agg(F.sum(F.col("pr") * F.col("p")).alias("_c")).withColumnRenamed("b", "vid"))
+            rank = alpha * (F.coalesce(F.col("_c"), F.lit(0.0)) + lost / n) + (1 - alpha) / n
+            state = materialize(state.withColumnRenamed("pr", "_old").join(contrib, "vid", "left")
+                                .select("vid", "dangling", "_old", rank.alias("pr")))
+            err, lost = state.agg(F.sum(F.abs(F.col("pr") - F.col("_old"))),
+                                  F.sum(F.when(F.col("dangling"), F.col("pr")).otherwise(0.0))).first()
+            state = state.drop("_old")
+            if err < n * tol:
+                return state.join(vids, "vid").select("node_id", F.col("pr").alias("pagerank"))
+        raise RuntimeError(f"PageRank did not converge in {max_iter} rounds (L1 change {err:.3g})")
