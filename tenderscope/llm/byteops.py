@@ -66,3 +66,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     return shift + np.arange(total)
+
+
+def cut_at_blanks(data: bytes, limit: int):
+    """Pieces of about ``limit`` bytes, cut at blanks or line ends only."""
+    while len(data) > limit:
+        at = max(data.rfind(b" ", 0, limit), data.rfind(b"\n", 0, limit))
+        if at <= 0:
+            at = min((x for x in (data.find(b" ", limit), data.find(b"\n", limit)) if x > 0), default=len(data))
+        yield data[:at]
+        data = data[at:]
+    yield data

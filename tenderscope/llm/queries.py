@@ -13,7 +13,11 @@ from .cascade import quality_cascade
 from .common import scratch, table
 from .mixing import mixture_plan
 from .packing import pack
+from .quality import fit as fit_quality
+from .quality import labelled_sample, score
+from .secrets import find_secrets
 from .sharding import shard_by_bytes
+from .sigtree import near_duplicates
 from .transducer import count_tokens
 
 
@@ -29,6 +33,21 @@ def op1_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _fold(id_col: str = "doc_id"):
+    """crc32 of the id's text modulo 3; fold 1 is never learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
+
+
+def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from boosted trees fitted on the labels outside fold 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(_fold() != 1)
+    model = fit_quality(labelled_sample(docs, labels, "quality"))
+    return score(docs, model).select(
+        "doc_id", F.coalesce(_fold() == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE token counts of every text by finite-state transduction."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,6 +94,13 @@ FROM k
 """
 
 
+def op6_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate secrets of all documents with the forest's score and verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return find_secrets(docs).select("doc_id", "start", "length", F.crc32(F.col("value").cast("binary")).alias("value_crc32"),
+                                     "score", "is_secret")
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of the short-circuit rule cascade for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -109,6 +135,12 @@ FROM b
 """
 
 
+def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of 0.9 of their 3-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as Simple-8b blocks in ascending doc_id order, then read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -127,9 +159,12 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bounded_packing": op1_bounded_packing,
+    "op2_boosted_quality": op2_boosted_quality,
     "op3_transducer_counts": op3_transducer_counts,
     "op4_curriculum_mixing": op4_curriculum_mixing,
+    "op6_forest_secrets": op6_forest_secrets,
     "op7_quality_cascade": op7_quality_cascade,
+    "op8_signature_trees": op8_signature_trees,
     "op9_simple8b_tokens": op9_simple8b_tokens,
     "op10_byte_shards": op10_byte_shards,
 }

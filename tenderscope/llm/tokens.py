@@ -15,7 +15,7 @@ import json
 
 import numpy as np
 
-from .byteops import groups_by_size, ragged, segment_hashes
+from .byteops import cut_at_blanks, groups_by_size, ragged, segment_hashes
 
 BUFFER = 1 << 20
 _SPLIT, _LETTER, _DIGIT, _SYMBOL, _UNSURE = range(5)
@@ -61,7 +61,7 @@ class WordTokenizer:
             if any(s in text for s in self.special):
                 out[k].append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            for piece in self._cut(text.encode()):
+            for piece in cut_at_blanks(text.encode(), BUFFER):
                 pieces.append(piece)
                 owner.append(k)
         for a, b in groups_by_size([len(p) + 1 for p in pieces], BUFFER):
@@ -70,17 +70,6 @@ class WordTokenizer:
         tail = [] if end is None else [np.array([end], np.uint32)]
         return [np.concatenate(parts + tail) if parts or tail else np.zeros(0, np.uint32) for parts in out]
 
-    @staticmethod
-    def _cut(data: bytes):
-        """Pieces of about a buffer, cut at blanks or line ends."""
-        while len(data) > BUFFER:
-            at = max(data.rfind(b" ", 0, BUFFER), data.rfind(b"\n", 0, BUFFER))
-            if at <= 0:
-                at = min((x for x in (data.find(b" ", BUFFER), data.find(b"\n", BUFFER)) if x > 0), default=len(data))
-            yield data[:at]
-            data = data[at:]
-        yield data
-
     def _ids(self, pieces: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b"\n".join(pieces), np.uint8)
         low, kind = _LOWER[data], _KIND[data]
