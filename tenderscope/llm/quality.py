@@ -9,7 +9,7 @@ Defined results: a null text counts as empty; a statistic with an empty
 denominator is 0, so empty texts get the score of all-zero statistics; labels
 that are null are not learnt from; without labelled rows every score is 0.5;
 repeated rows get equal scores; an empty table gives no rows; columns of the
-input are kept, unless one is named ``score``, which is replaced.
+input are kept, unless one is named like the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -81,9 +81,9 @@ def fit(sample: DataFrame, max_rows: int = MAX_ROWS, **params) -> Forest:
     return boosted(x, np.array([r[1] for r in rows], float), **params)
 
 
-def score(df: DataFrame, model: Forest, text_col: str = "text") -> DataFrame:
-    """``df`` with ``score``, the estimated chance of label 1."""
-    return df.withColumn("score", _scorer(model)(_features(text_col)))
+def score(df: DataFrame, model: Forest, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """``df`` with the estimated chance of label 1."""
+    return df.withColumn(out_col, _scorer(model)(_features(text_col)))
 
 
 def _scorer(model: Forest):

@@ -19,9 +19,10 @@ from .secrets import find_secrets
 from .sharding import shard_by_bytes
 from .sigtree import near_duplicates
 from .transducer import count_tokens
+from .vamana import build_index, search_index
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
@@ -29,11 +30,11 @@ def _vocabulary(name: str) -> str:
 def op1_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens, 64 open windows per partition."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, _vocabulary("word_bpe_49k.json")).select(
+    return pack(docs, vocabulary("word_bpe_49k.json")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def _fold(id_col: str = "doc_id"):
+def fold(id_col: str = "doc_id"):
     """crc32 of the id's text modulo 3; fold 1 is never learnt from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
@@ -41,17 +42,17 @@ def _fold(id_col: str = "doc_id"):
 def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document from boosted trees fitted on the labels outside fold 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(_fold() != 1)
+    labels = table(spark, sf_dir, "labels").where(fold() != 1)
     model = fit_quality(labelled_sample(docs, labels, "quality"))
     return score(docs, model).select(
-        "doc_id", F.coalesce(_fold() == 1, F.lit(False)).alias("held_out"), "score",
+        "doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE token counts of every text by finite-state transduction."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, _vocabulary("byte_bpe_50k.json"))
+    return count_tokens(docs, vocabulary("byte_bpe_50k.json"))
 
 
 def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +95,13 @@ FROM k
 """
 
 
+def op5_vamana_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector, by beam search of every shard's pruned graph."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = search_index(build_index(vectors, k=5), vectors.where("vec_id % 50 = 0"), k=5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op6_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate secrets of all documents with the forest's score and verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -145,7 +153,7 @@ def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as Simple-8b blocks in ascending doc_id order, then read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scratch(spark, "simple8b")
-    simple8b.write_tokens(docs, out, _vocabulary("word_bpe_49k.json"))
+    simple8b.write_tokens(docs, out, vocabulary("word_bpe_49k.json"))
     return simple8b.read_tokens(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -162,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_boosted_quality": op2_boosted_quality,
     "op3_transducer_counts": op3_transducer_counts,
     "op4_curriculum_mixing": op4_curriculum_mixing,
+    "op5_vamana_neighbours": op5_vamana_neighbours,
     "op6_forest_secrets": op6_forest_secrets,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_signature_trees": op8_signature_trees,
