@@ -8,7 +8,8 @@ hash of its set.
 n - ceil(t * n) + 1 elements of both in any common order. The order puts
 elements of frequent hash buckets last (one count per bucket, over all
 documents), so that elements which many documents share seldom route. Documents
-that share a routing element form a cell; cells with the same members are one.
+of about one size that share a routing element form a cell; cells with the same
+members are one.
 
 *Signature tree.* Inside a cell every document has a bitmap of its hashed
 elements and its size. Sorted by size, documents become leaves; a node holds the
@@ -35,6 +36,7 @@ further columns are ignored; texts are read whole.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,7 +47,7 @@ from ..operators.graph.iterative import connected_components
 from .byteops import cut_at_blanks, groups_by_size, mix, segment_hashes
 from .common import batches_of, shuffle_width, written
 
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 BITS = 2048
 BUFFER = 1 << 20
 #: documents of a cell that one task compares with one another or with another block
@@ -218,19 +220,18 @@ def _bucket_counts(rows: DataFrame, n: int) -> np.ndarray:
             for elements in shingle_sets(batch.column("text").to_pylist(), n):
                 total += np.bincount((elements >> np.uint64(64 - BUCKET_BITS)).astype(np.intp), minlength=len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int32())], names=["bucket", "n"])
 
-    counts = np.zeros(1 << BUCKET_BITS)
     # at most 2**BUCKET_BITS rows reach the driver
-    for bucket, count in (rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket")
-                          .agg(F.sum("n").alias("n")).collect()):
-        counts[bucket] = count
+    found = rows.select("text").mapInArrow(run, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKET_BITS)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 
 def _late(counts: np.ndarray) -> np.ndarray:
-    """Class of each bucket: 0 for usual counts, more for each doubling beyond."""
-    usual = 2 * max(counts.mean(), 4.0)
+    """Class of each bucket: 0 for counts that chance explains (six deviations), more for each doubling beyond."""
+    usual = counts.mean() + 6 * np.sqrt(max(counts.mean(), 1.0))
     return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / usual))).astype(np.int8)
 
 
@@ -299,11 +300,12 @@ def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: b
     return found.distinct()
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, n: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(key, elements) of the wanted (key, id): n-gram sets made anew from the texts."""
+def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(key, elements) of all keys in ``pairs``: n-gram sets made anew from the texts of ``nodes`` (key, id)."""
     import pyarrow as pa
 
-    wanted = written(wanted.withColumnRenamed("id", "_id"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = written(nodes.join(used, "key", "left_semi").select("key", F.col("id").alias("_id")))
     if wanted.count() <= broadcast_rows:  # 16 bytes each; beyond, a shuffled join
         wanted = F.broadcast(wanted)
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("key", "text")
@@ -363,20 +365,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = written(_signatures(rows, late, n, percent))
     filled = docs.where("size > 0")
 
-    route = filled.select("key", F.posexplode("route").alias("place", "cell"))
+    route = filled.select("key", F.col("size").cast("int").alias("size"), F.posexplode("route").alias("place", "cell"))
     shared = route.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
-    cells = written(route.join(shared, "cell").groupBy("cell", "key").agg(F.min("place").alias("place")))
+    cells = written(route.join(shared, "cell").groupBy("cell", "key", "size").agg(F.min("place").alias("place")))
     members = cells.select("key").distinct()
+    # linked sets differ by less than one of these bands in size, so they meet in the larger one's
+    band = F.floor(F.log(F.col("size").cast("double")) / (1.0001 * math.log(100 / percent))) if percent < 100 else F.col("size")
+    cells = cells.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("cell", F.xxhash64("cell", "band"))
     nodes = written(filled.join(members, "key", "left_semi").groupBy("key")
                     .agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
-    sets = written(_sets(rows, nodes.select("key", "id"), n))
     signatures = nodes.select("key", "size", "bitmap")
 
+    def verified(found: DataFrame) -> DataFrame:
+        found = written(found)
+        return written(_verified(found, written(_sets(rows, nodes, found, n)), percent))
+
     early = cells.where(F.col("place") < first_elements).select("cell", "key", F.col("key").alias("comp"))
-    links = written(_verified(written(_survivors(early, signatures, percent, True)), sets, percent))
+    links = verified(_survivors(early, signatures, percent, True))
     known = _components(links)
     late_cells = cells.select("cell", "key").join(known, "key", "left").select("cell", "key", F.coalesce("comp", "key").alias("comp"))
-    rest = written(_verified(written(_survivors(late_cells, signatures, percent, False)), sets, percent))
+    rest = verified(_survivors(late_cells, signatures, percent, False))
     if not rest.isEmpty():
         known = _components(links.unionByName(rest))
 
