@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import competition_risk, money_avg, procedure_risk, single_bid_zero_null
+from ..functions.rules import competition_risk, mean_of, procedure_risk, single_bid_zero_null
 
 # fixed values: buyer-type ladder (case-insensitive patterns on the buyer name)
 BUYER_TYPE_LADDER = (
@@ -46,7 +46,7 @@ def cpv_coverage(contracts: DataFrame, high_coverage_rows: int = 1000) -> DataFr
             .groupBy("cpv_division")
             .agg(F.count(F.lit(1)).alias("record_count"), F.countDistinct("buyer_id").alias("buyers"),
                  F.countDistinct("supplier_id").alias("suppliers"),
-                 money_avg(F.sum("final_price"), F.count("final_price")).alias("avg_price"),
+                 mean_of(F.sum("final_price"), F.count("final_price")).alias("avg_price"),
                  F.median(F.col("final_price")).alias("median_price"),
                  (F.count(F.lit(1)) >= high_coverage_rows).alias("high_coverage")))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import clip, competition_risk, money_avg, procedure_risk, risk_label
+from ..functions.rules import clip, competition_risk, mean_of, procedure_risk, risk_label
 from . import competition as comp
 from . import ecosystem as eco
 from . import history as hist
@@ -104,10 +104,11 @@ def label_counts(features: DataFrame) -> DataFrame:
 
 def buyer_risk_profile(predictions: DataFrame) -> DataFrame:
     """Per buyer mean risk, negotiated/restricted rate, null-skipping single-bid rate."""
-    neg = F.col("procedure_type").rlike("(?i)NEGOTIATED|RESTRICTED").cast("double")
+    kind = F.col("procedure_type")
+    neg = ((kind == "RESTRICTED") | kind.ilike("%NEGOTIATED%")).cast("double")
     return predictions.groupBy("buyer_id").agg(
         F.count(F.lit(1)).alias("contracts"),
-        money_avg(F.sum("ensemble_risk_prob"), F.count("ensemble_risk_prob")).alias("mean_risk"),
+        mean_of(F.sum("ensemble_risk_prob"), F.count("ensemble_risk_prob")).alias("mean_risk"),
         F.avg(neg).alias("negotiated_or_restricted_rate"),
         F.avg((F.col("bid_count") <= 1).cast("double")).alias("true_single_bid_rate"))
 

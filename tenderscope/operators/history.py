@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import money_avg, single_bid_zero_null
+from ..functions.rules import mean_of, single_bid_zero_null
 
 
 def _day(col: str = "award_date") -> Column:
@@ -84,7 +84,7 @@ def supplier_behavior(contracts: DataFrame, min_prior: int = 3, parity: bool = T
     # sample variance of the k-fold replicated prior prices, from centred sums
     ss = F.col("p_s_dev2") - F.col("p_s_dev") * F.col("p_s_dev") / F.col("p_n_price")
     var = F.when(kn > 1, k * F.greatest(ss, F.lit(0.0)) / (kn - 1))
-    avg_price = money_avg(F.col("p_s_price"), F.col("p_n_price"))
+    avg_price = mean_of(F.col("p_s_price"), F.col("p_n_price"))
     return (j.select(
         "supplier_id", F.col("contract_id").alias("focal_contract"), F.col("award_date").alias("focal_award_date"),
         n.cast("long").alias("prior_contracts"),
@@ -110,7 +110,7 @@ def temporal_windows(contracts: DataFrame, parity: bool = True) -> DataFrame:
     return j.select(
         "contract_id", "supplier_id", F.col("award_date").alias("focal_award_date"),
         (F.coalesce(F.col("p_n_cid"), F.lit(0)) * F.col("k")).cast("long").alias("supplier_contracts_prior_365d"),
-        money_avg(F.col("p_s_price"), F.col("p_n_price")).alias("supplier_avg_price_prior_365d"),
+        mean_of(F.col("p_s_price"), F.col("p_n_price")).alias("supplier_avg_price_prior_365d"),
         F.coalesce(F.col("p_n_single_le1").cast("double") / F.nullif(F.col("p_n_rows").cast("double"), F.lit(0.0)),
                    F.lit(0.0)).alias("supplier_single_bid_rate_prior_365d"),
         F.col("p_latest").alias("supplier_feature_latest_date"))
@@ -132,7 +132,7 @@ def supplier_behavior_selfjoin(contracts: DataFrame, min_prior: int = 3) -> Data
          / F.nullif(cnt.cast("double"), F.lit(0.0))).alias("single_bid_rate"),
         F.countDistinct("h.cpv_division").alias("cpv_diversity"),
         (F.stddev_samp("h.final_price") / F.nullif(F.avg("h.final_price"), F.lit(0.0))).alias("price_cv"),
-        money_avg(F.sum("h.final_price"), F.count("h.final_price")).alias("avg_prior_price"),
+        mean_of(F.sum("h.final_price"), F.count("h.final_price")).alias("avg_prior_price"),
         F.max("h.award_date").alias("supplier_feature_latest_date"))
     return g.where(F.col("prior_contracts") >= min_prior)
 
@@ -146,6 +146,6 @@ def temporal_windows_selfjoin(contracts: DataFrame) -> DataFrame:
     return j.groupBy(F.col("s.contract_id").alias("contract_id"), F.col("s.supplier_id").alias("supplier_id"),
                      F.col("s.award_date").alias("focal_award_date")).agg(
         F.count(F.col("h.contract_id")).alias("supplier_contracts_prior_365d"),
-        money_avg(F.sum("h.final_price"), F.count("h.final_price")).alias("supplier_avg_price_prior_365d"),
+        mean_of(F.sum("h.final_price"), F.count("h.final_price")).alias("supplier_avg_price_prior_365d"),
         F.avg(single_bid_zero_null(F.col("h.bid_count"))).alias("supplier_single_bid_rate_prior_365d"),
         F.max("h.award_date").alias("supplier_feature_latest_date"))

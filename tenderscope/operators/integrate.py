@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import money_avg, risk_class
+from ..functions.rules import mean_of, risk_class
 from .common import minmax_scale
 from .joins import assert_unique
 
@@ -149,17 +149,20 @@ def amendments_by_procedure(predictions: DataFrame) -> DataFrame:
             .agg(F.avg("contract_amendments").alias("mean_amendments"), F.count(F.lit(1)).alias("contracts")))
 
 
-def flags_per_detector(anomalies: DataFrame) -> DataFrame:
+#: flag columns of the detectors that vote for the consensus
+DETECTORS = ("lof_flag", "iso_flag", "ee_flag")
+
+
+def flags_per_detector(anomalies: DataFrame, flags: tuple[str, ...] = ("gb_flag", *DETECTORS, "consensus_flag")) -> DataFrame:
     """Flagged rows per detector, long form."""
-    one = anomalies.agg(*[F.count_if(F.col(c)).alias(c) for c in ("gb_flag", "lof_flag", "iso_flag", "ee_flag", "consensus_flag")])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("detector"), F.col(c).alias("flagged"))
-                                          for c in ("gb_flag", "lof_flag", "iso_flag", "ee_flag", "consensus_flag")])).alias("s")) \
-        .select("s.*")
+    one = anomalies.agg(*[F.count_if(F.col(c)).alias(c) for c in flags])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("detector"), F.col(c).alias("flagged")) for c in flags]))
+                      .alias("s")).select("s.*")
 
 
-def detector_agreement(anomalies: DataFrame) -> DataFrame:
-    """Rows per number of agreeing detectors (0-3)."""
-    n = F.col("lof_flag").cast("int") + F.col("iso_flag").cast("int") + F.col("ee_flag").cast("int")
+def detector_agreement(anomalies: DataFrame, detectors: tuple[str, ...] = DETECTORS) -> DataFrame:
+    """Rows per number of agreeing detectors."""
+    n = sum((F.col(c).cast("int") for c in detectors), F.lit(0))
     return anomalies.groupBy(n.alias("detectors_agreeing")).agg(F.count(F.lit(1)).alias("contracts"))
 
 
@@ -179,6 +182,6 @@ def entity_profile(predictions: DataFrame, entity_col: str) -> DataFrame:
     agg = predictions.groupBy(entity_col).agg(
         F.count_if(F.col("bid_count") <= 1).alias("single_bid_contracts"),
         F.avg((F.col("contract_amendments") > 0).cast("double")).alias("amendment_rate"),
-        money_avg(F.sum("ensemble_risk_prob"), F.count("ensemble_risk_prob")).alias("mean_risk"),
+        mean_of(F.sum("ensemble_risk_prob"), F.count("ensemble_risk_prob")).alias("mean_risk"),
         F.count(F.lit(1)).alias("contracts"))
     return agg.join(modal2, entity_col)

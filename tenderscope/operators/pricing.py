@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import money_avg
+from ..functions.rules import mean_of
 
 
 def price_proxy(contracts: DataFrame, min_priced_per_cpv: int = 300) -> DataFrame:
@@ -30,7 +30,7 @@ def priced_cpv_coverage(features: DataFrame, top: int = 25) -> DataFrame:
     """Priced contracts, mean and median price per CPV, top by count."""
     return (features.groupBy("cpv_division")
             .agg(F.count(F.lit(1)).alias("priced_contracts"),
-                 money_avg(F.sum("final_price"), F.count("final_price")).alias("mean_price"),
+                 mean_of(F.sum("final_price"), F.count("final_price")).alias("mean_price"),
                  F.median(F.col("final_price")).alias("median_price"))
             .orderBy(F.col("priced_contracts").desc(), "cpv_division").limit(top))
 

@@ -100,7 +100,7 @@ _K04_PAIRS = ",\n".join(
 _K04_ROWS = "\nUNION ALL ".join(
     f"SELECT '{f}' AS feature, GREATEST(" + ", ".join(f"COALESCE({f}__{t}, 0.0)" for t in K04_TARGETS)
     + ", 0.0) AS max_abs_corr FROM r" for f in K04_FEATURES)
-K04_SQL = F4_SQL + ",\nr AS (SELECT " + _K04_PAIRS + " FROM rq2_features),\ng AS (" + _K04_ROWS + """)
+K04_SQL = F4_SQL + ",\nr AS (SELECT " + _K04_PAIRS + " FROM gov),\ng AS (" + _K04_ROWS + """)
 SELECT feature, max_abs_corr,
        CASE WHEN max_abs_corr > 0.95 THEN 'FAIL' WHEN max_abs_corr >= 0.55 THEN 'WARN' ELSE 'PASS' END AS status
 FROM g"""
@@ -164,9 +164,9 @@ def c11_access_log_summary(spark, sf_dir):
     return al.log_summary(log)
 
 
-M10_SQL = F4_SQL + ",\nr AS (SELECT " + _K04_PAIRS + """ FROM rq2_features),
+M10_SQL = F4_SQL + ",\nr AS (SELECT " + _K04_PAIRS + """ FROM gov),
 g AS (""" + _K04_ROWS + """),
-cov AS (SELECT """ + ", ".join(f"COUNT({f}) / COUNT(*) AS c_{f}" for f in K04_FEATURES) + """ FROM rq2_features),
+cov AS (SELECT """ + ", ".join(f"COUNT({f}) / COUNT(*) AS c_{f}" for f in K04_FEATURES) + """ FROM gov),
 cv AS (""" + "\nUNION ALL ".join(f"SELECT '{f}' AS feature, c_{f} AS completeness FROM cov" for f in K04_FEATURES) + """)
 SELECT feature, max_abs_corr, completeness,
        CASE WHEN max_abs_corr >= 0.55 OR completeness < 0.5 THEN 'rejected' ELSE 'kept' END AS disposition,

@@ -82,7 +82,7 @@ def t05_chi2_cpv_single_bid(spark, sf_dir):
 
 
 AUC_SQL = F4_SQL + """,
-d AS (SELECT CASE WHEN risk_label >= 1 THEN 1 ELSE 0 END AS y, contract_value_log AS s FROM rq2_features),
+d AS (SELECT CASE WHEN risk_label >= 1 THEN 1 ELSE 0 END AS y, contract_value_log AS s FROM gov),
 sc AS (SELECT s, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y <> 1) AS neg FROM d GROUP BY s),
 roc_cum AS (SELECT s, pos, neg, SUM(pos) OVER (ORDER BY s DESC) AS tp, SUM(neg) OVER (ORDER BY s DESC) AS fp FROM sc),
 tot AS (SELECT SUM(pos) AS p, SUM(neg) AS n FROM sc)"""
@@ -109,7 +109,7 @@ def t15_best_f1_threshold(spark, sf_dir):
 
 
 @register("t14_threshold_metrics", r6=("precision", "recall", "f1"), sql=F4_SQL + """,
-d AS (SELECT CASE WHEN risk_label >= 1 THEN 1 ELSE 0 END AS y, procedure_risk >= 0.5 AS p FROM rq2_features),
+d AS (SELECT CASE WHEN risk_label >= 1 THEN 1 ELSE 0 END AS y, procedure_risk >= 0.5 AS p FROM gov),
 o AS (SELECT COUNT(*) FILTER (WHERE p AND y = 1) AS tp, COUNT(*) FILTER (WHERE p AND y <> 1) AS fp,
              COUNT(*) FILTER (WHERE NOT p AND y = 1) AS fn, COUNT(*) FILTER (WHERE NOT p AND y <> 1) AS tn FROM d)
 SELECT tp, fp, fn, tn, COALESCE(tp / NULLIF(tp + fp, 0), 0.0) AS precision, COALESCE(tp / NULLIF(tp + fn, 0), 0.0) AS recall,
@@ -123,7 +123,7 @@ def t14_threshold_metrics(spark, sf_dir):
 @register("v25_calibration_curve", r6=("mean_score", "positive_rate"), sql=F4_SQL + """
 SELECT CAST(LEAST(FLOOR(procedure_risk * 10), 9) AS INTEGER) AS bin, COUNT(*) AS n, AVG(procedure_risk) AS mean_score,
        AVG(CASE WHEN risk_label >= 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS positive_rate
-FROM rq2_features GROUP BY 1""")
+FROM gov GROUP BY 1""")
 def v25_calibration_curve(spark, sf_dir):
     """10-bin calibration of procedure_risk against label >= 1."""
     f = features(spark, sf_dir).withColumn("y", (F.col("risk_label") >= 1).cast("int"))
@@ -131,7 +131,7 @@ def v25_calibration_curve(spark, sf_dir):
 
 
 @register("t08_delong_value_vs_procedure", r6=("auc_a", "auc_b", "auc_diff", "se", "z", "ci_low", "ci_high"), sql=F4_SQL + """,
-d AS (SELECT CASE WHEN risk_label >= 1 THEN 1 ELSE 0 END AS y, contract_value_log AS a, procedure_risk AS b FROM rq2_features),
+d AS (SELECT CASE WHEN risk_label >= 1 THEN 1 ELSE 0 END AS y, contract_value_log AS a, procedure_risk AS b FROM gov),
 ta AS (SELECT a AS s, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y <> 1) AS neg FROM d GROUP BY a),
 tb AS (SELECT b AS s, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y <> 1) AS neg FROM d GROUP BY b),
 tot AS (SELECT COUNT(*) FILTER (WHERE y = 1) AS m, COUNT(*) FILTER (WHERE y <> 1) AS n FROM d),

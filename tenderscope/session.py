@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,18 +21,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app_name: str = "tenderscope", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]`` only when no master is
-    configured by the launcher (spark-submit sets it on a cluster).
+    A master is set only when one is asked for: on a cluster the launcher names
+    it. Memory is the launcher's business too.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None and "SPARK_MASTER" not in os.environ:
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -45,11 +41,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the launcher names a shared folder (HDFS/S3/...) and we use it
-    as is. Only when nothing is configured (local tests) do we create a fresh
-    scratch folder; a machine-local folder is never chosen when a shared one exists.
+    Where nothing is configured, a local session gets a fresh scratch folder; on
+    a cluster a machine-local folder would be a different one on each machine,
+    so the setting is required there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tenderscope-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
