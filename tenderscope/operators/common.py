@@ -43,11 +43,16 @@ def with_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:
 def average_rank(df: DataFrame, value_col: str, out_col: str, partition_cols: list[str] | None = None) -> DataFrame:
     """Average rank of ties (1-based), as pandas ``rank(method='average')``.
 
-    Ranks are computed over *distinct values* (pre-aggregated counts) so the
-    ordering window sees one row per value, then joined back.
+    Ranks are computed over *distinct values* (pre-aggregated counts) and joined
+    back. Without partition columns the values are ranked by a two-level prefix
+    sum, so no task sees all of them.
     """
     parts = partition_cols or []
     counts = df.groupBy(*parts, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    if not parts:
+        placed = global_order_prefix(counts, [F.col(value_col)], {"rows": F.col("_n").cast("double")})
+        ranks = placed.select(F.col(value_col).alias("_value"), (F.col("_cum_rows") - (F.col("_n") - 1) / 2.0).alias(out_col))
+        return df.join(ranks, F.col(value_col).eqNullSafe(F.col("_value")), "left").drop("_value")
     w = Window.partitionBy(*parts).orderBy(F.col(value_col)).rowsBetween(Window.unboundedPreceding, 0)
     ranks = (counts.withColumn("_cum", F.sum("_n").over(w))
              .select(*parts, value_col,

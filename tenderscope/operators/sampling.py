@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_order_prefix, ntile_from_position, with_scalar
+from .common import global_order_prefix, ntile_from_position, top_k_per_group, with_scalar
 
 
 def seeded_key(seed: int, *cols) -> Column:
@@ -18,12 +18,10 @@ def seeded_key(seed: int, *cols) -> Column:
 
 def year_stratified_cap(df: DataFrame, cap: int, year_col: str = "award_year", id_col: str = "contract_id",
                         tiebreak: list[str] | None = None) -> DataFrame:
-    """B1: at most ``cap`` rows per year in md5(id) order (ties by ``tiebreak`` columns).
-
-    The window is partitioned by year: one sort per year of rows, the
-    structure of the published panel (a year's rows are its own task)."""
-    w = Window.partitionBy(year_col).orderBy(F.md5(F.col(id_col).cast("string")), *(tiebreak or [id_col]))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
+    """B1: at most ``cap`` rows per year in md5(id) order (ties by ``tiebreak`` columns),
+    by salted ranking: no task sorts a whole year."""
+    order = [F.md5(F.col(id_col).cast("string")), *[F.col(c) for c in tiebreak or [id_col]]]
+    return top_k_per_group(df, [year_col], order, cap, rank_col="_rn").drop("_rn")
 
 
 def value_stratified_edge_sample(edges: DataFrame, frac: float = 0.35, seed: int = 42) -> DataFrame:
@@ -32,13 +30,23 @@ def value_stratified_edge_sample(edges: DataFrame, frac: float = 0.35, seed: int
     ranked = global_order_prefix(edges, [F.col("weight"), F.col("src"), F.col("dst")])
     n = edges.agg(F.count(F.lit(1)).alias("_n"))
     d = with_scalar(ranked, n).withColumn("decile", ntile_from_position(F.col("_pos"), F.col("_n"), 10)).drop("_pos", "_n")
-    w = Window.partitionBy("decile").orderBy(seeded_key(seed, "decile", "src", "dst"), "src", "dst")
-    cnt = d.groupBy("decile").agg(F.count(F.lit(1)).alias("_nd"))
-    return (d.join(F.broadcast(cnt), "decile").withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= F.floor(F.col("_nd") * frac + 0.5))
+    placed = position_in_group(d, "decile", [seeded_key(seed, "decile", "src", "dst"), F.col("src"), F.col("dst")])
+    return (placed.where(F.col("_rn") <= F.floor(F.col("_nd") * frac + 0.5))
             .select("src", "dst", "weight", "contracts", "decile"))
 
 
+def position_in_group(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """Adds ``_rn`` (1-based place of a row in its group) and ``_nd`` (rows of the
+    group) for a few large groups: one global order over (group, ``order``), from
+    which the rows of all smaller groups are subtracted."""
+    placed = global_order_prefix(df, [F.col(group).asc_nulls_first(), *order])
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_nd"))
+    earlier = Window.orderBy(F.col(group).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one row per group
+    sizes = sizes.select(F.col(group).alias("_g"), "_nd", F.coalesce(F.sum("_nd").over(earlier), F.lit(0)).alias("_before"))
+    return (placed.join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+            .withColumn("_rn", F.col("_pos") - F.col("_before")).drop("_pos", "_before", "_g"))
+
+
 def seeded_sample(df: DataFrame, n: int, seed: int, key_cols: list[str]) -> DataFrame:
     """N rows in md5(seed|key) order (the limit is the feature)."""
     return df.orderBy(seeded_key(seed, *key_cols), *key_cols).limit(n)
@@ -46,8 +54,7 @@ def seeded_sample(df: DataFrame, n: int, seed: int, key_cols: list[str]) -> Data
 
 def class_balanced_sample(df: DataFrame, label: str, n: int, seed: int, key_cols: list[str]) -> DataFrame:
     """Up to n/2 positives, the rest negatives, md5-seeded within class."""
-    w = Window.partitionBy(label).orderBy(seeded_key(seed, *key_cols), *key_cols)
-    r = df.withColumn("_rn", F.row_number().over(w))
+    r = top_k_per_group(df, [label], [seeded_key(seed, *key_cols), *[F.col(c) for c in key_cols]], n, rank_col="_rn")
     pos = r.where((F.col(label) >= 1) & (F.col("_rn") <= n // 2))
     n_pos = pos.agg(F.count(F.lit(1)).alias("_np"))
     neg = with_scalar(r.where(F.col(label) < 1), n_pos).where(F.col("_rn") <= n - F.col("_np")).drop("_np")
@@ -71,8 +78,8 @@ def temporal_split(df: DataFrame, train: tuple[int, int], val: tuple[int, int],
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
     """Fold 0..k-1 assigned round-robin within each class in md5 order."""
     keys = key_cols or [c for c in df.columns if c != label][:3]
-    w = Window.partitionBy(label).orderBy(seeded_key(seed, *keys), *keys)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    placed = position_in_group(df, label, [seeded_key(seed, *keys), *[F.col(c) for c in keys]])
+    return placed.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_rn", "_nd")
 
 
 def forward_chaining_folds(years: list[int]) -> list[tuple[list[int], int]]:

@@ -324,14 +324,30 @@ w AS (SELECT node_id, SUM(weight) AS exposure FROM inc GROUP BY node_id),
 seed AS (SELECT node_id FROM w ORDER BY exposure DESC, node_id LIMIT 1),
 cand AS (SELECT node_id, MIN(s) AS s FROM (SELECT node_id, 0 AS s FROM seed UNION ALL
          SELECT other, 1 FROM inc WHERE node_id IN (SELECT node_id FROM seed)) GROUP BY node_id)
-SELECT node_id FROM cand JOIN w USING (node_id) ORDER BY s, exposure DESC, node_id LIMIT 40""")
+SELECT node_id FROM cand JOIN w USING (node_id) ORDER BY s, exposure DESC, node_id LIMIT 150""")
 def r23_neighbourhood(spark, sf_dir):
-    """The heaviest node and its 1-hop neighbours, capped at 40 by exposure (seed first)."""
+    """The heaviest node and its 1-hop neighbours, capped at 150 by exposure (seed first)."""
+    return _neighbourhood(spark, sf_dir)[0]
+
+
+def _neighbourhood(spark, sf_dir):
     e = edges(spark, sf_dir)
     w = gb.incidence(e).groupBy("node_id").agg(F.sum("weight").alias("exposure"))
     seed = w.orderBy(F.col("exposure").desc(), "node_id").limit(1).select("node_id")
-    keep, _links = gb.neighbourhood(e, seed, w, cap=40)
-    return keep
+    return gb.neighbourhood(e, seed, w, cap=150)
+
+
+@register("r23_neighbourhood_links", r4=("weight",), sql="WITH " + EDGES_SQL + """,
+heavy AS (SELECT node_id, SUM(weight) AS exposure FROM inc GROUP BY node_id),
+top AS (SELECT ARG_MAX(node_id, (exposure, node_id)) AS node_id FROM heavy WHERE exposure = (SELECT MAX(exposure) FROM heavy)),
+around AS (SELECT DISTINCT other AS node_id FROM inc WHERE node_id IN (FROM top)),
+kept AS (SELECT node_id FROM around JOIN heavy USING (node_id) WHERE node_id NOT IN (FROM top)
+         ORDER BY exposure DESC, node_id LIMIT 149)
+SELECT src, dst, weight, contracts FROM edges
+WHERE src IN (FROM top UNION ALL FROM kept) AND dst IN (FROM top UNION ALL FROM kept)""")
+def r23_neighbourhood_links(spark, sf_dir):
+    """The edges inside the neighbourhood of the heaviest node."""
+    return _neighbourhood(spark, sf_dir)[1].select("src", "dst", "weight", "contracts")
 
 
 @register("r16_buyer_dominant_cpv", sql="""

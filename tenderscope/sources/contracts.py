@@ -198,47 +198,33 @@ def materialize(df: DataFrame, path: str, partition_by: str | None = "award_year
 CONTRACT_SOURCES = ("lineitem", "orders", "customer", "supplier", "part", "nation")
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+#: folders written by this process: (application, tables' listing) -> path
+_WRITTEN: dict[tuple[str, int, int], str] = {}
 
 
-def _source_signature(spark: SparkSession, sf_dir: str) -> str:
-    """Hash of the input tables' paths, sizes and modification times (a stale copy is never reused)."""
-    import hashlib
-    h = hashlib.sha256()
-    for t in CONTRACT_SOURCES:
-        path = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        fs, p = _hadoop_fs(spark, path)
-        st = fs.getFileStatus(p)
-        h.update(f"{path}|{st.getLen()}|{st.getModificationTime()}".encode())
-    return h.hexdigest()[:20]
+def _source_signature(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(files, hash of their paths, lengths and modification times) of the input
+    tables: one part file rewritten in a folder changes it."""
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+               .load([f"{sf_dir.rstrip('/')}/{t}.parquet" for t in CONTRACT_SOURCES]).select("path", "length", "modificationTime"))
+    # a crc file or a marker is part of the listing too; only names and stamps are read
+    return tuple(listing.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
 
 
 def canonical_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical contract view of the test tables, materialised once.
+    """The canonical contract view of the test tables, materialised once per session.
 
     The six-table derivation is written as zstd parquet partitioned by
-    award_year under the shared checkpoint folder (keyed by the inputs'
-    signature) and every later query scans that table, with year pruning and
-    column pruning, instead of repeating the joins (D4/A5). On a cluster the
-    folder is the one named by ``spark.checkpoint.dir``.
+    award_year under the shared checkpoint folder and every later query of the
+    session scans that table, with year pruning and column pruning, instead of
+    repeating the joins (D4/A5). Each session writes a folder of its own, so no
+    two writers meet, and it is made anew when the inputs' listing changes.
     """
     from ..session import ensure_checkpoint_dir
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/curated/contracts_base/{_source_signature(spark, sf_dir)}"
-    fs, p = _hadoop_fs(spark, f"{path}/_SUCCESS")
-    if not fs.exists(p):
-        # write to a private folder, then publish it with one rename, so concurrent
-        # first readers never see a half-written table
+    key = (spark.sparkContext.applicationId, *_source_signature(spark, sf_dir))
+    if key not in _WRITTEN:
         import uuid
-        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-        materialize(contracts_from_testdata(spark, sf_dir), tmp, partition_by="award_year")
-        jvm = spark.sparkContext._jvm
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path)):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path))
-        if not fs.exists(p):
-            path = tmp                   # another writer won the rename race with a partial folder
-    df = spark.read.parquet(path)
-    return df.select(*CANONICAL_COLUMNS)
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/curated/contracts_base-{uuid.uuid4().hex}"
+        materialize(contracts_from_testdata(spark, sf_dir), path, partition_by="award_year")
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key]).select(*CANONICAL_COLUMNS)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import read_if_present
+
 
 def run_sql_file(spark: SparkSession, sql_path: str, output_path: str | None = None) -> DataFrame:
     """A4: run a SQL file against the registered views; optionally write it as zstd parquet."""
-    with open(sql_path) as fh:
-        df = spark.sql(fh.read())
+    df = spark.sql(spark.read.text(sql_path, wholetext=True).first()[0])
     if output_path:
         write_parquet(df, output_path)
     return df
@@ -48,9 +48,11 @@ def merge_metrics(old: DataFrame, new: DataFrame, key: str = "metric", version:
 def cached_table(spark: SparkSession, path: str, compute) -> DataFrame:
     """Read-through artefact cache: read ``path`` if present, else compute,
     write and read back (the written table also cuts lineage)."""
-    if not os.path.exists(path):
+    found = read_if_present(spark, path)
+    if found is None:
         write_parquet(compute(), path)
-    return spark.read.parquet(path)
+        found = spark.read.parquet(path)
+    return found
 
 
 def result_manifest(spark: SparkSession, results: dict[str, DataFrame], key_stats: dict[str, str] | None = None) -> DataFrame:

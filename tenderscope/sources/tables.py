@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -11,7 +10,17 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 
 
 def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path`` of any store that Spark reads, or none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -28,5 +37,6 @@ def read_projected(spark: SparkSession, path: str, columns: list[str], condition
 
 def register_views(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> None:
     for n in names:
-        if os.path.exists(table_path(sf_dir, n)):
-            read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+        found = read_if_present(spark, table_path(sf_dir, n))
+        if found is not None:
+            found.createOrReplaceTempView(n)
