@@ -15,8 +15,10 @@ members are one.
 elements and its size. Sorted by size, documents become leaves; a node holds the
 OR of the bitmaps below, their size range and their largest excess (elements
 beyond one per set bit). Two documents below a pair of nodes have at most
-min(sizes, common bits + excess) common elements. A dual traversal from the pair
-of roots drops every pair of nodes for which that is too little. Large cells are
+min(sizes, common bits + excess) common elements. Large sets, whose bitmaps are
+full, also have element counts per bucket; nodes hold their maximum, and the sum
+of the smaller counts bounds the overlap too. A dual traversal from the pair of
+roots drops every pair of nodes for which that is too little. Large cells are
 cut into blocks, and each pair of blocks is traversed by itself.
 
 *Exactness.* Surviving pairs are verified on the full sets. A group of near
@@ -49,6 +51,8 @@ from .common import batches_of, shuffle_width, written
 
 BUCKET_BITS = 18
 BITS = 2048
+#: sets from this size on also have counts of their elements in so many buckets; ANY stands for any count
+COUNTED, COUNTS, ANY = 1200, 512, 255
 BUFFER = 1 << 20
 #: documents of a cell that one task compares with one another or with another block
 BLOCK = 2048
@@ -103,10 +107,22 @@ def needed(size: int | np.ndarray, percent: int):
     return -(-size * percent // 100)
 
 
-def bitmap(elements: np.ndarray) -> np.ndarray:
+def signature(elements: np.ndarray) -> bytes:
+    """The bitmap, and for large sets the counts of elements per bucket."""
     bits = np.zeros(BITS, np.uint8)
     bits[(elements >> np.uint64(20)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).view(np.uint64)
+    out = np.packbits(bits).tobytes()
+    if len(elements) >= COUNTED:
+        counts = np.bincount(((elements >> np.uint64(32)) % np.uint64(COUNTS)).astype(np.intp), minlength=COUNTS)
+        out += np.minimum(counts, ANY).astype(np.uint8).tobytes()
+    return out
+
+
+def unpacked(signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bitmaps, counts); a set without counts may have any number in a bucket."""
+    bitmaps = np.frombuffer(b"".join(s[:BITS // 8] for s in signatures), np.uint64).reshape(-1, BITS // 64)
+    blank = bytes([ANY]) * COUNTS
+    return bitmaps, np.frombuffer(b"".join(s[BITS // 8:] or blank for s in signatures), np.uint8).reshape(-1, COUNTS)
 
 
 def set_key(elements: np.ndarray) -> int:
@@ -126,18 +142,18 @@ class Tree:
     """Signature tree over documents sorted by size; level 0 are the documents.
 
     A level is (lowest size, highest size, largest excess, OR bitmap, component
-    or -1 when the documents below are in several)."""
+    or -1 when the documents below are in several, largest counts)."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, components: np.ndarray):
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, components: np.ndarray):
         excess = sizes - np.bitwise_count(bitmaps).sum(1)
-        self.levels = [(sizes, sizes, excess, bitmaps, components)]
+        self.levels = [(sizes, sizes, excess, bitmaps, components, counts)]
         while len(self.levels[-1][0]) > 1:
-            low, high, excess, ors, comp = self.levels[-1]
+            low, high, excess, ors, comp, counts = self.levels[-1]
             cuts = np.arange(0, len(low), FANOUT)
             one = np.minimum.reduceat(comp, cuts) == np.maximum.reduceat(comp, cuts)
             self.levels.append((np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts),
                                 np.maximum.reduceat(excess, cuts), np.bitwise_or.reduceat(ors, cuts, axis=0),
-                                np.where(one, comp[cuts], -1)))
+                                np.where(one, comp[cuts], -1), np.maximum.reduceat(counts, cuts, axis=0)))
 
     def level(self, k: int):
         return self.levels[min(k, len(self.levels) - 1)]
@@ -149,7 +165,14 @@ def _possible(a, b, percent: int) -> np.ndarray:
     k = np.flatnonzero(fits)
     common = np.bitwise_count(a[3][k] & b[3][k]).sum(1).astype(np.int64) + np.minimum(a[2][k], b[2][k])
     top = np.minimum(common, np.minimum(a[1][k], b[1][k]))
-    fits[k] = (100 + percent) * top >= percent * (a[0][k] + b[0][k])
+    ok = (100 + percent) * top >= percent * (a[0][k] + b[0][k])
+    fits[k] = ok
+    k = k[ok & (np.minimum(a[1][k], b[1][k]) >= COUNTED)]
+    for s in range(0, len(k), 2048):
+        part = k[s:s + 2048]
+        top = np.minimum(a[5][part], b[5][part]).sum(1, dtype=np.int64)
+        fits[part] = ((100 + percent) * top >= percent * (a[0][part] + b[0][part])) \
+            | ((a[5][part] == ANY) & (b[5][part] == ANY)).any(1)
     return fits
 
 
@@ -180,30 +203,30 @@ def traverse(left: Tree, right: Tree, percent: int):
         stack += [(level - 1, pi[a:a + 8192], pj[a:a + 8192]) for a in range(0, len(pi), 8192)]
 
 
-def leader_pairs(sizes: np.ndarray, bitmaps: np.ndarray, order: np.ndarray, percent: int):
+def leader_pairs(sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, order: np.ndarray, percent: int):
     """(leader, document): each document with the first one in ``order`` that it may be linked with."""
-    nodes = Tree(sizes, bitmaps, np.full(len(sizes), -1))
+    nodes = Tree(sizes, bitmaps, counts, np.full(len(sizes), -1))
     free = np.ones(len(sizes), bool)
     for k in order:
         if free[k]:
-            one = Tree(sizes[k:k + 1], bitmaps[k:k + 1], np.full(1, -1))
+            one = Tree(sizes[k:k + 1], bitmaps[k:k + 1], counts[k:k + 1], np.full(1, -1))
             near = np.concatenate([j for _, j in traverse(one, nodes, percent)] or [np.zeros(0, np.int64)])
             near = near[free[near] & (near != k)]
             free[near] = free[k] = False
             yield np.full(len(near), k), near
 
 
-def cell_pairs(keys: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, components: np.ndarray, side: np.ndarray,
-               percent: int, leaders: bool):
+def cell_pairs(keys: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, components: np.ndarray,
+               side: np.ndarray, percent: int, leaders: bool):
     """Surviving pairs of keys in one cell or pair of blocks."""
     order = np.argsort(sizes, kind="stable")
-    keys, sizes, bitmaps, components, side = keys[order], sizes[order], bitmaps[order], components[order], side[order]
+    keys, sizes, bitmaps, counts, components, side = (x[order] for x in (keys, sizes, bitmaps, counts, components, side))
     if leaders:
-        for i, j in leader_pairs(sizes, bitmaps, np.argsort(mix(keys.view(np.uint64)), kind="stable"), percent):
+        for i, j in leader_pairs(sizes, bitmaps, counts, np.argsort(mix(keys.view(np.uint64)), kind="stable"), percent):
             yield keys[i], keys[j]
         return
     parts = [np.flatnonzero(side == s) for s in np.unique(side)]
-    trees = [Tree(sizes[p], bitmaps[p], components[p]) for p in parts]
+    trees = [Tree(sizes[p], bitmaps[p], counts[p], components[p]) for p in parts]
     for i, j in traverse(trees[0], trees[-1], percent):
         yield keys[parts[0][i]], keys[parts[-1][j]]
 
@@ -236,10 +259,10 @@ def _late(counts: np.ndarray) -> np.ndarray:
 
 
 def _signatures(rows: DataFrame, late: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(id, size, key, route, bitmap) of every document."""
+    """(id, size, key, route, signature) of every document."""
     import pyarrow as pa
     schema = T.StructType([rows.schema["id"], T.StructField("size", T.LongType()), T.StructField("key", T.LongType()),
-                           T.StructField("route", T.ArrayType(T.LongType())), T.StructField("bitmap", T.BinaryType())])
+                           T.StructField("route", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
@@ -250,7 +273,7 @@ def _signatures(rows: DataFrame, late: np.ndarray, n: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat)),
-                pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=schema.names)
+                pa.array([signature(s) for s in sets], pa.binary())], names=schema.names)
 
     return rows.select("id", "text").mapInArrow(run, schema)
 
@@ -268,7 +291,7 @@ def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: b
     rows = rows.join(signatures, "key").withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "key",
-                       "size", "comp", "bitmap")
+                       "size", "comp", "signature")
     width = shuffle_width(cells.sparkSession)
     rows = rows.repartition(width, "cell", "p", "q").sortWithinPartitions("cell", "p", "q")
 
@@ -277,14 +300,14 @@ def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: b
 
         def pairs():
             group = [np.concatenate(x) for x in zip(*held)]
-            found = list(cell_pairs(group[4], group[5], group[7], group[6], group[3], percent, leaders))
+            found = list(cell_pairs(group[4], group[5], group[7], group[8], group[6], group[3], percent, leaders))
             for a in range(0, len(found), 256):
                 i, j = (np.concatenate(x) for x in zip(*found[a:a + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["a", "b"])
 
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "p", "q", "own", "key", "size", "comp")]
-            columns.append(np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64))
+            columns += unpacked(batch.column("signature").to_pylist())
             place = np.stack(columns[:3])
             cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -373,8 +396,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     band = F.floor(F.log(F.col("size").cast("double")) / (1.0001 * math.log(100 / percent))) if percent < 100 else F.col("size")
     cells = cells.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("cell", F.xxhash64("cell", "band"))
     nodes = written(filled.join(members, "key", "left_semi").groupBy("key")
-                    .agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
-    signatures = nodes.select("key", "size", "bitmap")
+                    .agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("signature").alias("signature")))
+    signatures = nodes.select("key", "size", "signature")
 
     def verified(found: DataFrame) -> DataFrame:
         found = written(found)

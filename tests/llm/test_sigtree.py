@@ -75,15 +75,15 @@ def test_traversal_loses_no_pair():
     universe = rng.integers(0, 2 ** 63, 5000).astype(np.uint64)
     sets = []
     for _ in range(12):
-        base = rng.choice(universe, rng.choice([1, 5, 40, 400]), replace=False)
+        base = rng.choice(universe, rng.choice([1, 5, 40, 400, 1180, 1230, 4000]), replace=False)
         for _ in range(rng.integers(1, 9)):
             keep = rng.random(len(base)) > 0.04
             sets.append(np.unique(np.concatenate((base[keep], rng.choice(universe, rng.integers(0, 3))))))
     sets = [s for s in sets if len(s)]
     sets.sort(key=len)
-    sizes, maps = np.array([len(s) for s in sets]), np.stack([sigtree.bitmap(s) for s in sets])
+    sizes, (maps, counts) = np.array([len(s) for s in sets]), sigtree.unpacked([sigtree.signature(s) for s in sets])
     comps = np.arange(len(sets))
-    tree = sigtree.Tree(sizes, maps, comps)
+    tree = sigtree.Tree(sizes, maps, counts, comps)
     for percent in (80, 90):
         found = {(a, b) for i, j in sigtree.traverse(tree, tree, percent) for a, b in zip(i, j)}
         true = set()
@@ -94,10 +94,10 @@ def test_traversal_loses_no_pair():
                     true.add((a, b))
         assert true <= found and true
         half = len(sets) // 3
-        other = {(a, b + half) for i, j in sigtree.traverse(sigtree.Tree(sizes[:half], maps[:half], comps[:half]),
-                 sigtree.Tree(sizes[half:], maps[half:], comps[half:]), percent) for a, b in zip(i, j)}
+        other = {(a, b + half) for i, j in sigtree.traverse(sigtree.Tree(sizes[:half], maps[:half], counts[:half], comps[:half]),
+                 sigtree.Tree(sizes[half:], maps[half:], counts[half:], comps[half:]), percent) for a, b in zip(i, j)}
         assert {(a, b) for a, b in true if a < half <= b} <= other
-    same = sigtree.Tree(sizes, maps, np.zeros(len(sets), np.int64))
+    same = sigtree.Tree(sizes, maps, counts, np.zeros(len(sets), np.int64))
     assert not list(sigtree.traverse(same, same, 80))
 
 
