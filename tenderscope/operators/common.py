@@ -50,8 +50,9 @@ def average_rank(df: DataFrame, value_col: str, out_col: str, partition_cols: li
     parts = partition_cols or []
     counts = df.groupBy(*parts, value_col).agg(F.count(F.lit(1)).alias("_n"))
     if not parts:
-        placed = global_order_prefix(counts, [F.col(value_col)], {"rows": F.col("_n").cast("double")})
-        ranks = placed.select(F.col(value_col).alias("_value"), (F.col("_cum_rows") - (F.col("_n") - 1) / 2.0).alias(out_col))
+        counts = counts.select(F.col(value_col).alias("_value"), "_n")
+        placed = global_order_prefix(counts, [F.col("_value")], {"rows": F.col("_n").cast("double")})
+        ranks = placed.select("_value", (F.col("_cum_rows") - (F.col("_n") - 1) / 2.0).alias(out_col))
         return df.join(ranks, F.col(value_col).eqNullSafe(F.col("_value")), "left").drop("_value")
     w = Window.partitionBy(*parts).orderBy(F.col(value_col)).rowsBetween(Window.unboundedPreceding, 0)
     ranks = (counts.withColumn("_cum", F.sum("_n").over(w))

@@ -136,6 +136,16 @@ def graph_density(contract_pairs: DataFrame) -> DataFrame:
         (F.col("edges") / F.nullif((F.col("buyers") * F.col("suppliers")).cast("double"), F.lit(0.0))).alias("graph_density"))
 
 
+def two_hop_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges with an end among the seeds or their neighbours."""
+    inc = incidence(edges)
+    ball = seeds.select("node_id").unionByName(inc.join(seeds, "node_id", "left_semi").select(F.col("other").alias("node_id"))).distinct()
+    out = edges
+    for end in ("src", "dst"):
+        out = out.join(ball.select(F.col("node_id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    return out.where(F.col("_src").isNotNull() | F.col("_dst").isNotNull()).drop("_src", "_dst")
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, exposure: DataFrame, cap: int = 150) -> tuple[DataFrame, DataFrame]:
     """Seeds plus their 1-hop neighbours, capped at ``cap`` nodes per seed set
     (seeds first, then by exposure desc, then id), and the induced links.

@@ -131,6 +131,34 @@ def yearly_risk(predictions: DataFrame, buyer_id: str | None = None, supplier_id
     return p.groupBy("award_year").agg(F.avg("ensemble_risk_prob").alias("mean_risk"), F.count(F.lit(1)).alias("contracts"))
 
 
+def evidence_table(unified: DataFrame, communities: DataFrame, centrality: DataFrame) -> DataFrame:
+    """Unified risk rows with the buyer's community and centrality (two left joins on buyer)."""
+    return unified.join(communities.select("buyer_id", "community_id"), "buyer_id", "left").join(centrality, "buyer_id", "left")
+
+
+def integration_metrics(unified: DataFrame, communities: DataFrame, min_group: int = 10) -> DataFrame:
+    """One row with counts, mean risk, the two coverage-aware correlations
+    (dependency with risk, risk with anomaly), and over communities of at least
+    ``min_group`` contracts the ANOVA of risk and chi-square of the consensus flag."""
+    from . import stats as st
+    spark = unified.sparkSession
+    one = unified.agg(F.count(F.lit(1)).alias("contracts"), F.count_if(F.col("risk_class") == "HIGH").alias("high_risk_contracts"),
+                      F.avg("unified_risk_score").alias("mean_unified_risk")).first()
+    corr = [st.coverage_aware_corr(unified, a, b).first() for a, b in
+            (("buyer_dependency_normalized", "ensemble_risk_prob"), ("ensemble_risk_prob", "anomaly_score"))]
+    placed = unified.join(communities.select("buyer_id", "community_id"), "buyer_id").where(F.col("community_id").isNotNull())
+    tested = placed.groupBy("community_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group)
+    placed = placed.join(tested.select("community_id"), "community_id", "left_semi")
+    tests = {r["test"]: r for r in st.p_value_table(
+        spark, st.anova_oneway(placed, "community_id", "ensemble_risk_prob", min_group),
+        st.chi2_independence(placed.where(F.col("consensus_flag").isNotNull()), "community_id", "consensus_flag")).collect()}
+    row = (one["contracts"], one["high_risk_contracts"], one["mean_unified_risk"], corr[0]["value"], corr[1]["value"],
+           tests["anova"]["statistic"], tests["anova"]["p_value"], tests["chi2"]["statistic"], tests["chi2"]["p_value"], tested.count())
+    return spark.createDataFrame([row], "contracts long, high_risk_contracts long, mean_unified_risk double, rq1_rq2_corr double, "
+                                 "rq2_rq3_corr double, anova_f_statistic double, anova_p_value double, chi_square_statistic double, "
+                                 "chi_square_p_value double, number_of_communities_tested long")
+
+
 def risk_class_counts(df: DataFrame) -> DataFrame:
     """Rows per risk class."""
     return df.groupBy("risk_class").agg(F.count(F.lit(1)).alias("contracts"))

@@ -75,6 +75,29 @@ def temporal_split(df: DataFrame, train: tuple[int, int], val: tuple[int, int],
     return df.withColumn("split", s).where(F.col("split").isNotNull())
 
 
+def stratified_split(df: DataFrame, label: str, test_share: float = 0.25, seed: int = 42,
+                     key_cols: list[str] | None = None) -> DataFrame:
+    """Seeded split that takes the same share of every class into the test set."""
+    keys = key_cols or [c for c in df.columns if c != label][:3]
+    placed = position_in_group(df, label, [seeded_key(seed, *keys), *[F.col(c) for c in keys]])
+    test = F.col("_rn") <= F.floor(F.col("_nd") * test_share + 0.5)
+    return placed.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("_rn", "_nd")
+
+
+def temporal_or_stratified(df: DataFrame, label: str, train: tuple[int, int], test: tuple[int, int], year_col: str = "award_year",
+                           min_rows: int = 100, test_share: float = 0.25, seed: int = 42,
+                           key_cols: list[str] | None = None) -> DataFrame:
+    """Train and test by years; when either has fewer than ``min_rows`` rows or
+    a single class, all rows are split by ``stratified_split`` instead."""
+    y = F.col(year_col)
+    split = F.when(y.between(*train), "train").when(y.between(*test), "test")
+    dealt = df.withColumn("split", split).where(F.col("split").isNotNull())
+    seen = {r["split"]: r for r in dealt.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).collect()}
+    if all(s in seen and seen[s]["n"] >= min_rows and seen[s]["k"] > 1 for s in ("train", "test")):
+        return dealt
+    return stratified_split(df, label, test_share, seed, key_cols)
+
+
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
     """Fold 0..k-1 assigned round-robin within each class in md5 order."""
     keys = key_cols or [c for c in df.columns if c != label][:3]

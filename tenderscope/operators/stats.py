@@ -143,6 +143,22 @@ def _curve(df: DataFrame, label: str, score: str) -> DataFrame:
     return with_scalar(c, tot).withColumnRenamed("_cum_tp", "tp").withColumnRenamed("_cum_fp", "fp")
 
 
+def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(threshold, fpr, tpr, precision) at each distinct score."""
+    return _curve(df, label, score).select(
+        F.col("score").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"),
+        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+
+
+def p_value_table(spark, anova: DataFrame, chi2: DataFrame) -> DataFrame:
+    """(test, statistic, p_value) of one-row test results."""
+    a, c = anova.first(), chi2.first()
+    rows = [("anova", a["f_stat"], f_survival(a["f_stat"], a["groups"] - 1, a["n"] - a["groups"]) if a["f_stat"] is not None else None),
+            ("chi2", c["chi2"], chi2_survival(c["chi2"], int(c["dof"])) if c["chi2"] is not None else None)]
+    return spark.createDataFrame([(t, float(x) if x is not None else None, p) for t, x, p in rows],
+                                 "test string, statistic double, p_value double")
+
+
 def roc_pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """ROC-AUC (trapezoids over distinct thresholds = Mann–Whitney with
     ties counted half) and average precision Σ (R_k − R_{k−1})·P_k."""

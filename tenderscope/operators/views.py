@@ -24,6 +24,44 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
         F.percentile(F.col(value), 0.75).alias("q3"), F.max(value).alias("max"))
 
 
+def exact_median(df: DataFrame, value, measure: str) -> DataFrame:
+    """(measure, centre): the exact median from counts per distinct value and a
+    two-level prefix sum, so that no task holds all values."""
+    counts = df.select(value.alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = global_order_prefix(counts, [F.col("_v")], {"rows": F.col("_c").cast("double")})
+    total = counts.agg(F.sum("_c").alias("_t"))
+    low, high = F.floor((F.col("_t") - 1) / 2) + 1, F.floor(F.col("_t") / 2) + 1  # 1-based places of the middle rows
+    holds = [(F.col("_cum_rows") >= p) & (F.col("_cum_rows") - F.col("_c") < p) for p in (low, high)]
+    return with_scalar(placed, total).agg(
+        F.lit(measure).alias("measure"),
+        ((F.max(F.when(holds[0], F.col("_v"))) + F.max(F.when(holds[1], F.col("_v")))) / 2).alias("centre"))
+
+
+def empirical_cdf(df: DataFrame, value: str) -> DataFrame:
+    """(value, cdf): share of rows at or below each distinct value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    placed = global_order_prefix(counts, [F.col(value)], {"rows": F.col("_c").cast("double")})
+    return with_scalar(placed, counts.agg(F.sum("_c").alias("_t"))).select(value, (F.col("_cum_rows") / F.col("_t")).alias("cdf"))
+
+
+def degree_summary(metrics: DataFrame) -> DataFrame:
+    """90th percentile of degree and top-decile mean over the mean, per node type."""
+    counts = metrics.groupBy("node_type", "degree").agg(F.count(F.lit(1)).alias("c"))
+    from pyspark.sql import Window
+    up = Window.partitionBy("node_type").orderBy(F.col("degree").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    # windows over distinct degrees
+    w = counts.withColumn("above", F.sum("c").over(up) - F.col("c")) \
+        .withColumn("n", F.sum("c").over(Window.partitionBy("node_type")))
+    top = F.floor(F.col("n") / 10)
+    taken = F.greatest(F.least(F.col("c"), top - F.col("above")), F.lit(0))
+    place = 0.1 * (F.col("n") - 1)  # of the 90th percentile, from the top, 0-based
+    def at(k):
+        return F.max(F.when((F.col("above") <= k) & (k < F.col("above") + F.col("c")), F.col("degree")))
+    return w.groupBy("node_type").agg(
+        (at(F.floor(place)) * (1 - F.first(place - F.floor(place))) + at(F.ceil(place)) * F.first(place - F.floor(place))).alias("p90"),
+        ((F.sum(taken * F.col("degree")) / F.sum(taken)) / (F.sum(F.col("c") * F.col("degree")) / F.sum("c"))).alias("top_decile_to_mean"))
+
+
 def share_above(df: DataFrame, col: str, cut: float) -> DataFrame:
     """Rows, rows above a cut-off and their share."""
     return df.agg(F.count(F.col(col)).alias("n"), F.count_if(F.col(col) > cut).alias("above"),
