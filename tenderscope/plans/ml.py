@@ -9,8 +9,10 @@ short; the library defaults keep the published sizes.
 from __future__ import annotations
 
 from ..operators import pricing as pr
+from ..operators.graph.iterative import materialize
 from ..operators.ml import governance_model as gm
 from ..operators.ml import price_model as pm
+from ..sources.contracts import source_signature
 from .catalogue import C
 from .features import features
 from .registry import register
@@ -21,12 +23,25 @@ GOV_PARAMS = gm.ModelParams(rf_trees=40, rf_depth=8, gbt_iter=20, folds=5)
 PRICE_PARAMS = pm.PriceParams(gbt_iter=20, iso_trees=100)
 
 
+#: model outputs written by this process: (application, model, inputs' listing) -> tables
+_STORED: dict[tuple, tuple] = {}
+
+
+def _stored(spark, sf_dir, model, build):
+    """The tables of ``build()``, written once per session and input listing: a model is fitted once for all its queries."""
+    key = (spark.sparkContext.applicationId, model, *source_signature(spark, sf_dir))
+    if key not in _STORED:
+        _STORED[key] = tuple(materialize(df) for df in build())
+    return _STORED[key]
+
+
 def governance_scored(spark, sf_dir):
-    return gm.score_contracts(features(spark, sf_dir), FEATURES, TRAIN, VAL, TEST, GOV_PARAMS)
+    return _stored(spark, sf_dir, "governance",
+                   lambda: gm.score_contracts(features(spark, sf_dir), FEATURES, TRAIN, VAL, TEST, GOV_PARAMS))
 
 
 def price_flags(spark, sf_dir):
-    return pm.price_anomalies(pr.price_proxy(C(spark, sf_dir)), PRICE_PARAMS)
+    return _stored(spark, sf_dir, "price", lambda: pm.price_anomalies(pr.price_proxy(C(spark, sf_dir)), PRICE_PARAMS))
 
 
 @register("m05_governance_scores")
@@ -38,9 +53,7 @@ def m05_governance_scores(spark, sf_dir):
 @register("m05_governance_metrics")
 def m05_governance_metrics(spark, sf_dir):
     """Test ROC-AUC/PR-AUC per model, validation-frozen threshold metrics."""
-    scored, val = governance_scored(spark, sf_dir)
-    scored = scored.cache()
-    return gm.headline_metrics(scored, val)
+    return gm.headline_metrics(*governance_scored(spark, sf_dir))
 
 
 @register("m18_price_anomalies")
@@ -62,6 +75,6 @@ def m09_permutation_importance(spark, sf_dir):
     p = gm.ModelParams(rf_trees=20, rf_depth=6, gbt_iter=10, folds=2)
     d = gm._prepare(features(spark, sf_dir), cols)
     train = gm._with_weights(d.where(d.award_year.between(*TRAIN)))
-    model = gm._models(cols, p).fit(train)
+    model = gm._models(cols, p, train.count()).fit(train)
     test = d.where(d.award_year.between(*TEST)).withColumn("weight", gm.F.lit(1.0))
     return gm.permutation_importance(model, test, cols)

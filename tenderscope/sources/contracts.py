@@ -202,7 +202,7 @@ CONTRACT_SOURCES = ("lineitem", "orders", "customer", "supplier", "part", "natio
 _WRITTEN: dict[tuple[str, int, int], str] = {}
 
 
-def _source_signature(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+def source_signature(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """(files, hash of their paths, lengths and modification times) of the input
     tables: one part file rewritten in a folder changes it."""
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -221,7 +221,7 @@ def canonical_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     two writers meet, and it is made anew when the inputs' listing changes.
     """
     from ..session import ensure_checkpoint_dir
-    key = (spark.sparkContext.applicationId, *_source_signature(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, *source_signature(spark, sf_dir))
     if key not in _WRITTEN:
         import uuid
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/curated/contracts_base-{uuid.uuid4().hex}"
