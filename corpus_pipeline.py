@@ -77,6 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces after all stages have run over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         out = scratch(spark, f"pipeline-{name}")
