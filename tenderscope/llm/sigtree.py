@@ -22,11 +22,11 @@ roots drops every pair of nodes for which that is too little. Large cells are
 cut into blocks, and each pair of blocks is traversed by itself.
 
 *Exactness.* Surviving pairs are verified on the full sets. A group of near
-copies would survive with all its pairs, so there are two rounds: the first,
-over the first routing elements, pairs documents only with a few leaders of
-their cell; what it verifies gives provisional components. The second, over all
-routing elements, drops pairs that already are in one component and verifies all
-others. So each linked pair is in one component or verified itself.
+copies would survive with all its pairs, so a few rounds over the first routing
+elements pair documents only with leaders of their cell, other ones each time;
+what they verify gives provisional components. The last round, over all routing
+elements, drops pairs that already are in one component and verifies all others.
+So each linked pair is in one component or verified itself.
 
 Defined results: null or empty texts have an empty set, no links and their own
 id as component; texts with fewer words than n have one element, the whole
@@ -203,13 +203,13 @@ def traverse(left: Tree, right: Tree, percent: int):
         stack += [(level - 1, pi[a:a + 8192], pj[a:a + 8192]) for a in range(0, len(pi), 8192)]
 
 
-def leader_pairs(sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, order: np.ndarray, percent: int):
-    """(leader, document): each document with the first one in ``order`` that it may be linked with."""
-    nodes = Tree(sizes, bitmaps, counts, np.full(len(sizes), -1))
+def leader_pairs(sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, components: np.ndarray, order: np.ndarray, percent: int):
+    """(leader, document): each document with the first one in ``order`` of another component that it may be linked with."""
+    nodes = Tree(sizes, bitmaps, counts, components)
     free = np.ones(len(sizes), bool)
     for k in order:
         if free[k]:
-            one = Tree(sizes[k:k + 1], bitmaps[k:k + 1], counts[k:k + 1], np.full(1, -1))
+            one = Tree(sizes[k:k + 1], bitmaps[k:k + 1], counts[k:k + 1], components[k:k + 1])
             near = np.concatenate([j for _, j in traverse(one, nodes, percent)] or [np.zeros(0, np.int64)])
             near = near[free[near] & (near != k)]
             free[near] = free[k] = False
@@ -217,12 +217,12 @@ def leader_pairs(sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, ord
 
 
 def cell_pairs(keys: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, components: np.ndarray,
-               side: np.ndarray, percent: int, leaders: bool):
+               side: np.ndarray, percent: int, leaders: int):
     """Surviving pairs of keys in one cell or pair of blocks."""
     order = np.argsort(sizes, kind="stable")
     keys, sizes, bitmaps, counts, components, side = (x[order] for x in (keys, sizes, bitmaps, counts, components, side))
     if leaders:
-        for i, j in leader_pairs(sizes, bitmaps, counts, np.argsort(mix(keys.view(np.uint64)), kind="stable"), percent):
+        for i, j in leader_pairs(sizes, bitmaps, counts, components, np.argsort(mix(keys.view(np.uint64) + np.uint64(leaders)), kind="stable"), percent):
             yield keys[i], keys[j]
         return
     parts = [np.flatnonzero(side == s) for s in np.unique(side)]
@@ -278,8 +278,10 @@ def _signatures(rows: DataFrame, late: np.ndarray, n: int, percent: int) -> Data
     return rows.select("id", "text").mapInArrow(run, schema)
 
 
-def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: bool) -> DataFrame:
-    """(a, b): keys of pairs that survive the trees of the cells (cell, key, comp)."""
+def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: int) -> DataFrame:
+    """(a, b): keys of pairs that survive the trees of the cells (cell, key, comp).
+
+    ``leaders`` 0: all pairs of two components; else only pairs with leaders, in an order of that number."""
     import pyarrow as pa
 
     counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"),
@@ -379,7 +381,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 2048
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90,
-                    first_elements: int = 3) -> DataFrame:
+                    first_elements: int = 3, leader_rounds: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) of every row; documents link when
     100 * intersection >= percent * union of their n-gram sets."""
     batches_of(df.sparkSession, 500)
@@ -403,11 +405,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = written(found)
         return written(_verified(found, written(_sets(rows, nodes, found, n)), percent))
 
-    early = cells.where(F.col("place") < first_elements).select("cell", "key", F.col("key").alias("comp"))
-    links = verified(_survivors(early, signatures, percent, True))
-    known = _components(links)
-    late_cells = cells.select("cell", "key").join(known, "key", "left").select("cell", "key", F.coalesce("comp", "key").alias("comp"))
-    rest = verified(_survivors(late_cells, signatures, percent, False))
+    def placed(some: DataFrame, known: DataFrame | None) -> DataFrame:
+        if known is None:
+            return some.select("cell", "key", F.col("key").alias("comp"))
+        return some.select("cell", "key").join(known, "key", "left").select("cell", "key", F.coalesce("comp", "key").alias("comp"))
+
+    links, known = None, None
+    for r in range(leader_rounds):
+        early = cells.where(F.col("place").between(r * first_elements, (r + 1) * first_elements - 1))
+        new = verified(_survivors(placed(early, known), signatures, percent, r + 1))
+        if links is not None and new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        known = _components(links)
+    rest = verified(_survivors(placed(cells, known), signatures, percent, 0))
     if not rest.isEmpty():
         known = _components(links.unionByName(rest))
 
