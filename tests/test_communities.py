@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tenderscope.operators.graph.communities import louvain
+from tenderscope.operators.graph import communities as co
+from tenderscope.operators.graph.communities import _louvain, louvain
 
 
 def test_louvain_h2(h2):
@@ -19,3 +20,36 @@ def test_louvain_two_cliques(spark):
     c = {r["node_id"]: r["community_id"] for r in part.collect()}
     assert c["B_0"] == c["S_1"] and c["B_4"] == c["S_5"] and c["B_0"] != c["B_4"]
     assert q.first()["modularity"] > 0.45
+
+
+def test_level_ends_only_when_no_vertex_wants_to_move(spark, monkeypatch):
+    """One heavy pair of edges holds nearly all weight: the moves of the light cliques raise modularity by less than 1e-4."""
+    e = [(f"B_h{i}", f"S_h{i}", 1e6, 1) for i in range(2)]
+    e += [(f"B_{c}_{i}", f"S_{c}_{j}", 1.0, 1) for c in range(8) for i in range(4) for j in range(4)]
+    levels, moving = [], co._local_moving
+
+    def seen(w, *args):
+        levels.append((w, moving(w, *args)))
+        return levels[-1][1]
+
+    monkeypatch.setattr(co, "_local_moving", seen)
+    louvain(spark.createDataFrame(e, "src string, dst string, weight double, contracts long"))
+    w, comm = levels[0]
+    at, m2 = {r["vid"]: r["comm"] for r in comm.collect()}, 2 * sum(x[2] for x in e)
+    k, kin, tot = {}, {}, {}
+    for r in w.collect():
+        k[r["a"]] = k.get(r["a"], 0) + r["weight"]
+        kin.setdefault(r["a"], {}).setdefault(at[r["b"]], []).append(r["weight"])
+    for v, c in at.items():
+        tot[c] = tot.get(c, 0) + k[v]
+    gain = lambda v, c: sum(kin[v].get(c, [])) - (tot[c] - (k[v] if c == at[v] else 0)) * k[v] / m2
+    assert not [v for v, c in at.items() if any(gain(v, d) > gain(v, c) + 1e-9 for d in kin[v])]
+
+
+def test_many_graphs_end_like_one(spark):
+    """A replicate's partition does not depend on the graphs that run beside it: each has the best of its own levels."""
+    rows = [(0, "B_0", "S_0", 1.0), (0, "B_1", "S_1", 1.0)]
+    rows += [(1, f"B_{c}_{i}", f"S_{c}_{j}", 2.0) for c in range(2) for i in range(3) for j in range(3)]
+    part, q = _louvain(spark.createDataFrame(rows, "rep int, src string, dst string, weight double"), 42)
+    assert q == {0: pytest.approx(0.5), 1: pytest.approx(0.5)}
+    assert part.groupBy("rep").agg(F.count_distinct("community_id").alias("n")).where("n = 2").count() == 2
