@@ -121,8 +121,8 @@ def ci95(df: DataFrame, value: str) -> DataFrame:
 
 
 def empirical_p(null_values: DataFrame, value: str, observed: Column) -> DataFrame:
-    """Empirical p = share of null draws >= observed; z = (observed − mean)/sd."""
-    return null_values.agg(F.avg(value).alias("null_mean"), F.stddev_samp(value).alias("null_std"),
+    """Empirical p = share of null draws >= observed; z = (observed − mean)/sd, population sd as published."""
+    return null_values.agg(F.avg(value).alias("null_mean"), F.stddev_pop(value).alias("null_std"),
                            F.avg((F.col(value) >= observed).cast("double")).alias("p_value"),
                            F.first(observed).alias("observed")).select(
         "observed", "null_mean", "null_std", F.try_divide(F.col("observed") - F.col("null_mean"), F.col("null_std")).alias("z"),

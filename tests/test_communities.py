@@ -1,8 +1,10 @@
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
 from tenderscope.operators.graph import communities as co
-from tenderscope.operators.graph.communities import _louvain, louvain
+from tenderscope.operators.graph.communities import _louvain, louvain, null_model_test
 
 
 def test_louvain_h2(h2):
@@ -46,6 +48,19 @@ def test_level_ends_only_when_no_vertex_wants_to_move(spark, monkeypatch):
     assert not [v for v, c in at.items() if any(gain(v, d) > gain(v, c) + 1e-9 for d in kin[v])]
 
 
+def test_null_model_replicates_have_a_test(spark):
+    """Separate cliques against their rewired graphs: many replicates in one job, observed above all of them."""
+    e = [(f"B_{c}_{i}", f"S_{c}_{j}", 1.0, 1) for c in range(6) for i in range(3) for j in range(3)]
+    df = spark.createDataFrame(e, "src string, dst string, weight double, contracts long")
+    rows = null_model_test(df, rewires=12, rounds=5).collect()
+    assert [r["rep"] for r in sorted(rows, key=lambda r: r["rep"])] == list(range(12))
+    null, r = [r["modularity"] for r in rows], rows[0]
+    assert r["null_mean"] == pytest.approx(sum(null) / 12) and r["null_std"] == pytest.approx(statistics.pstdev(null))
+    assert r["observed"] == pytest.approx(1 - 1 / 6)
+    assert r["p_value"] == sum(q >= r["observed"] for q in null) / 12 == 0.0 and r["significant"] and r["z"] > 0
+    assert len(set(null)) > 1
+
+
 def test_many_graphs_end_like_one(spark):
     """A replicate's partition does not depend on the graphs that run beside it: each has the best of its own levels."""
     rows = [(0, "B_0", "S_0", 1.0), (0, "B_1", "S_1", 1.0)]
@@ -53,3 +68,12 @@ def test_many_graphs_end_like_one(spark):
     part, q = _louvain(spark.createDataFrame(rows, "rep int, src string, dst string, weight double"), 42)
     assert q == {0: pytest.approx(0.5), 1: pytest.approx(0.5)}
     assert part.groupBy("rep").agg(F.count_distinct("community_id").alias("n")).where("n = 2").count() == 2
+
+
+def test_registered_null_model_has_the_published_replicates(monkeypatch):
+    from tenderscope.plans import graph
+    asked = {}
+    monkeypatch.setattr(graph, "edges", lambda *a: None)
+    monkeypatch.setattr(graph.gco, "null_model_test", lambda e, **k: asked.update(k))
+    graph.r15_null_model(None, None)
+    assert asked["rewires"] == 100 and asked["alpha"] == 0.01
