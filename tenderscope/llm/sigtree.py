@@ -141,19 +141,20 @@ def routing_elements(elements: np.ndarray, late: np.ndarray, percent: int) -> np
 class Tree:
     """Signature tree over documents sorted by size; level 0 are the documents.
 
-    A level is (lowest size, highest size, largest excess, OR bitmap, component
-    or -1 when the documents below are in several, largest counts)."""
+    A level is (lowest size, highest size, largest excess, OR bitmap, component,
+    largest counts, whether the documents below are in several components)."""
 
     def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, components: np.ndarray):
         excess = sizes - np.bitwise_count(bitmaps).sum(1)
-        self.levels = [(sizes, sizes, excess, bitmaps, components, counts)]
+        self.levels = [(sizes, sizes, excess, bitmaps, components, counts, np.zeros(len(sizes), bool))]
         while len(self.levels[-1][0]) > 1:
-            low, high, excess, ors, comp, counts = self.levels[-1]
+            low, high, excess, ors, comp, counts, mixed = self.levels[-1]
             cuts = np.arange(0, len(low), FANOUT)
-            one = np.minimum.reduceat(comp, cuts) == np.maximum.reduceat(comp, cuts)
+            several = np.minimum.reduceat(comp, cuts) != np.maximum.reduceat(comp, cuts)
             self.levels.append((np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts),
                                 np.maximum.reduceat(excess, cuts), np.bitwise_or.reduceat(ors, cuts, axis=0),
-                                np.where(one, comp[cuts], -1), np.maximum.reduceat(counts, cuts, axis=0)))
+                                comp[cuts], np.maximum.reduceat(counts, cuts, axis=0),
+                                several | np.logical_or.reduceat(mixed, cuts)))
 
     def level(self, k: int):
         return self.levels[min(k, len(self.levels) - 1)]
@@ -161,7 +162,7 @@ class Tree:
 
 def _possible(a, b, percent: int) -> np.ndarray:
     """Which of the node pairs may hold a linked pair of two components."""
-    fits = (100 * a[1] >= percent * b[0]) & (100 * b[1] >= percent * a[0]) & ((a[4] != b[4]) | (a[4] < 0))
+    fits = (100 * a[1] >= percent * b[0]) & (100 * b[1] >= percent * a[0]) & ((a[4] != b[4]) | a[6] | b[6])
     k = np.flatnonzero(fits)
     common = np.bitwise_count(a[3][k] & b[3][k]).sum(1).astype(np.int64) + np.minimum(a[2][k], b[2][k])
     top = np.minimum(common, np.minimum(a[1][k], b[1][k]))

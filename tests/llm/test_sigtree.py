@@ -141,3 +141,15 @@ def test_pipeline_stages(spark, edge_rows, tmp_path):
         whole[p["doc_id"]] = whole.get(p["doc_id"], 0) + p["length"]
     assert sum(whole.values()) == sum(p["length"] for p in seen["pack"])
     assert set(whole) == {r["doc_id"] for r in seen["mix"]}
+
+
+@pytest.mark.parametrize("component", [-7, -1, 7])
+def test_traversal_drops_pairs_of_one_component(component):
+    """Component ids are signed: a negative one is a component like any other."""
+    sets = [np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)] * 100
+    bitmaps, counts = sigtree.unpacked([sigtree.signature(s) for s in sets])
+    components = np.full(100, component, np.int64)
+    components[50] = 3
+    tree = sigtree.Tree(np.full(100, 40), bitmaps, counts, components)
+    pairs = {(int(a), int(b)) for i, j in sigtree.traverse(tree, tree, 80) for a, b in zip(i, j)}
+    assert pairs == {(min(k, 50), max(k, 50)) for k in range(100) if k != 50}
