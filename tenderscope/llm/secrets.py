@@ -149,8 +149,9 @@ def fit(findings: DataFrame, max_findings: int = MAX_FINDINGS, **params) -> Fore
     """A forest on at most ``max_findings`` labelled findings of each label."""
     rows = []
     for label in (0, 1):
-        chosen = findings.where(F.col("label") == label).select("value", "features", "label")
-        rows += chosen.orderBy(F.xxhash64("value"), "value", "features").limit(max_findings).collect()
+        chosen = findings.where(F.col("label") == label).select("id", "start", "value", "features", "label")
+        # by finding, not by value: a value with many copies takes its share only
+        rows += chosen.orderBy(F.xxhash64("id", "start", "value"), "id", "start", "value").limit(max_findings).collect()
     x = np.array([r["features"] for r in rows], float).reshape(len(rows), len(FEATURES))
     y = np.array([r["label"] for r in rows], float)
     alone = x.copy()

@@ -126,3 +126,14 @@ def test_graph_of_few_points():
         graph, start = vamana.build_graph(x)
         ids, _ = vamana.beam_search(x, graph, start, x, 40)
         assert (ids[:, 0] == np.arange(n)).all() and ((ids >= 0).sum(1) == n).all()
+
+
+def test_bounded_findings_spread_over_values(spark, monkeypatch):
+    """Every value has copies; no value's copies may fill the bounded sample of its label."""
+    seen = []
+    monkeypatch.setattr(secrets, "random_forest", lambda x, y, **p: seen.append(x))
+    zeros = [0.0] * (len(secrets.FEATURES) - 1)
+    rows = [(f"d{v}_{c}", 0, f"value{v}", label, [float(v), *zeros]) for label in (0, 1) for v in range(20) for c in range(50)]
+    df = spark.createDataFrame(rows, "id string, start long, value string, label int, features array<float>")
+    secrets.fit(df, max_findings=50)
+    assert len(seen[0]) == 200 and len(set(seen[0][:50, 0])) > 10 and len(set(seen[0][50:100, 0])) > 10
