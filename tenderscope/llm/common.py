@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: the ASCII white space that separates words
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACE", "table", "scratch", "written", "let", "batches_of", "shuffle_width", "exclusive_offsets"]
+__all__ = ["WORD", "SPACE", "table", "scratch", "written", "discard", "let", "batches_of", "shuffle_width", "exclusive_offsets"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,15 @@ def written(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this run wrote below ``spark.checkpoint.dir`` and reads no more."""
+    root = ensure_checkpoint_dir(spark).rstrip("/") + "/"
+    if not path.startswith(root):
+        raise ValueError(f"{path} is not below {root}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a bound variable.
 

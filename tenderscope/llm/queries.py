@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .cascade import quality_cascade
-from .common import scratch, table
+from .common import scratch, table, written
+from .maintext import extract_main_text
+from .merkle import fold as fold_path
+from .merkle import leaf_hash, merkle_manifest, path_hash
 from .mixing import mixture_plan
+from .nsbounds import cluster_vectors, with_inertia
 from .packing import pack
 from .quality import fit as fit_quality
 from .quality import labelled_sample, score
@@ -165,6 +169,101 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that it leads to after tampering with every seventh."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    def leaf(n_chars):
+        return leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, leaf(F.col("n_chars") + 1))
+    manifest = merkle_manifest(docs, F.col("lang"), F.col("doc_id"), leaf(F.col("n_chars")),
+                               {"doc_id": F.col("doc_id"), "tampered": tampered}, fanout=2)
+    return (manifest.withColumn("folded_root", fold_path(F.coalesce("tampered", "leaf"), F.col("path")))
+            .select("doc_id", "leaf", "subroot", "root", path_hash(F.col("path")).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS mid,
+         coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS mid2,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents),
+l AS (SELECT doc_id, lang, sha256(head || mid || tail) AS leaf, sha256(head || mid2 || tail) AS other FROM d),
+x AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY lang) AS n,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+low AS (
+  SELECT g, 0 AS lv, i, leaf AS h, n FROM x
+  UNION ALL
+  SELECT g, lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY g, lv, i // 2, n),
+sub AS (SELECT g, h, lv AS depth, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (
+  SELECT 0 AS lv, g AS i, h, n FROM sub
+  UNION ALL
+  SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lv, i // 2, n),
+steps AS (
+  SELECT x.g, x.i, v.lv, (x.i >> v.lv) & 1 AS odd, coalesce(s.h, '') AS h
+  FROM x JOIN sub ON x.g = sub.g CROSS JOIN LATERAL (SELECT unnest(range(0, sub.depth)) AS lv) v
+  LEFT JOIN low s ON s.g = x.g AND s.lv = v.lv AND s.i = xor(x.i >> v.lv, 1)
+  UNION ALL
+  SELECT x.g, x.i, sub.depth + v.lv, (x.g >> v.lv) & 1, coalesce(s.h, '')
+  FROM x JOIN sub ON x.g = sub.g CROSS JOIN LATERAL (SELECT unnest(range(0, (SELECT max(lv) FROM top))) AS lv) v
+  LEFT JOIN top s ON s.lv = v.lv AND s.i = xor(x.g >> v.lv, 1)),
+proof AS (SELECT g, i, sha256(string_agg(h, '' ORDER BY lv)) AS proof FROM steps GROUP BY g, i),
+folded AS (
+  SELECT g, i, 0 AS lv, CASE WHEN crc % 7 = 0 THEN other ELSE leaf END AS h
+  FROM (SELECT *, xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                  lambda a, b: list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END,
+                                           xor(a, b)), 4294967295)) AS crc FROM x)
+  UNION ALL
+  SELECT f.g, f.i, f.lv + 1, sha256(CASE WHEN s.odd = 1 THEN s.h || f.h ELSE f.h || s.h END)
+  FROM folded f JOIN steps s ON s.g = f.g AND s.i = f.i AND s.lv = f.lv)
+SELECT x.doc_id, x.leaf, sub.h AS subroot, root.h AS root, coalesce(proof, sha256('')) AS proof_sha256,
+       e.h AS folded_root, e.h = root.h AS verified
+FROM x JOIN sub USING (g) CROSS JOIN (SELECT h FROM top WHERE n = 1) root LEFT JOIN proof p ON p.g = x.g AND p.i = x.i
+JOIN (SELECT g, i, arg_max(h, lv) AS h FROM folded GROUP BY g, i) e ON e.g = x.g AND e.i = x.i
+"""
+
+
+def op12_density_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article text of every page by composite text density."""
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_nsbounds_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every 64-component vector after ten rounds over eight centroids."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    assigned, history = cluster_vectors(vectors, dims=64, clusters=8, rounds=10, scale=1024, salt="3")
+    return with_inertia(written(assigned), history[-1])
+
+
+def _op13_sql(clusters: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The same rounds as one chain of tables: vectors by component, distances to all centroids, floored means."""
+    steps = [f"""e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+v AS MATERIALIZED (SELECT r, unnest(range({dims})) AS d, unnest(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS x FROM e),
+o AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, ''))) - 1 AS c FROM e),
+c0 AS MATERIALIZED (SELECT c, d, x FROM o JOIN v USING (r) WHERE c < {clusters})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, arg_min(c, (dist, c)) AS c, min(dist) AS dist
+  FROM (SELECT r, c, sum((v.x - w.x) * (v.x - w.x))::BIGINT AS dist FROM v JOIN c{k} w USING (d) GROUP BY r, c) GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT c, d, sum(x)::BIGINT AS s, count(*) AS n FROM a{k} JOIN v USING (r) GROUP BY c, d),
+c{k + 1} AS MATERIALIZED (SELECT w.c, w.d, coalesce((s - ((s % n) + n) % n) // n, w.x) AS x FROM c{k} w LEFT JOIN m{k} USING (c, d))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, a.c::INTEGER AS cluster, dist AS distance, (sum(dist) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(dist) OVER ())::BIGINT AS inertia, h.s AS centroid_sha256
+FROM a{rounds} a JOIN e USING (r)
+JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS s FROM c{rounds} GROUP BY c) h ON h.c = a.c"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bounded_packing": op1_bounded_packing,
     "op2_boosted_quality": op2_boosted_quality,
@@ -176,6 +275,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_signature_trees": op8_signature_trees,
     "op9_simple8b_tokens": op9_simple8b_tokens,
     "op10_byte_shards": op10_byte_shards,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_density_text": op12_density_text,
+    "op13_nsbounds_clusters": op13_nsbounds_clusters,
 }
 
-ORACLES: dict[str, str] = {"op4_curriculum_mixing": OP4_SQL, "op7_quality_cascade": OP7_SQL}
+ORACLES: dict[str, str] = {"op4_curriculum_mixing": OP4_SQL, "op7_quality_cascade": OP7_SQL,
+                           "op11_merkle_manifest": OP11_SQL, "op13_nsbounds_clusters": OP13_SQL}
