@@ -115,6 +115,68 @@ def global_order_prefix(df: DataFrame, order_cols: list[Column], sums: dict[str,
     return out.drop("_b", "_off_n", "_bn", *[f"_off_{k}" for k in sums], *[f"_v_{k}" for k in sums])
 
 
+def segmented_prefix(df: DataFrame, key_cols: list[str], order_cols: list[Column], sums: dict[str, Column],
+                     buckets: int | None = None) -> DataFrame:
+    """Inclusive running sums per key (``_cum_<name>``) in which a key may span tasks.
+
+    The table is dealt over ranges of (key, order). Inside a range a window adds
+    up; a key that goes on from earlier ranges (at most one a range, so the table
+    of carries has at most ``buckets`` rows and is broadcast) gets what they hold
+    of it. ``order_cols`` should be a total order within a key.
+    """
+    spark = df.sparkSession
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), 1)
+    for k, c in sums.items():
+        df = df.withColumn(f"_v_{k}", c)
+    r = df.repartitionByRange(n, *[F.col(c) for c in key_cols], *order_cols).withColumn("_b", F.spark_partition_id())
+    # range bounds come from a sample taken per execution: hold the assignment
+    ensure_checkpoint_dir(spark)
+    r = r.checkpoint(eager=True)
+    tot = r.groupBy("_b", *key_cols).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    before = Window.partitionBy(*key_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (tot.select(F.col("_b").alias("_cb"), *[F.col(c).alias(f"_key_{c}") for c in key_cols],
+                        F.count(F.lit(1)).over(before).alias("_earlier"),
+                        *[F.sum(f"_t_{k}").over(before).alias(f"_carry_{k}") for k in sums])
+             .where("_earlier > 0").drop("_earlier"))
+    same = F.col("_b") == F.col("_cb")
+    for c in key_cols:
+        same &= F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    local = Window.partitionBy("_b", *key_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    out = r.join(F.broadcast(carry), same, "left")
+    for k in sums:
+        out = out.withColumn(f"_cum_{k}", F.sum(f"_v_{k}").over(local) + F.coalesce(F.col(f"_carry_{k}"), F.lit(0)))
+    return out.drop("_b", "_cb", *[f"_key_{c}" for c in key_cols], *[f"_carry_{k}" for k in sums], *[f"_v_{k}" for k in sums])
+
+
+def grouped_quantiles(df: DataFrame, group_cols: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(group..., one column a quantile): exact quantiles with linear interpolation, nulls left out.
+
+    Rows become counts per (group, value), their running counts per group come
+    from a segmented prefix, and the values at the two places around each
+    quantile are picked by one aggregate: no task holds a group. Without
+    ``group_cols`` there is one row, of nulls if there are no values."""
+    x = df.where(F.col(value).isNotNull()).groupBy(*group_cols, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    keys = list(group_cols) or ["_all"]
+    if not group_cols:
+        x = x.withColumn("_all", F.lit(0))
+    x = segmented_prefix(x, keys, [F.col("_x")], {"n": F.col("_n")})
+    total = x.groupBy(*keys).agg(F.sum("_n").alias("_m")).select(*[F.col(c).alias(f"_g_{c}") for c in keys], "_m")
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    x = x.join(total, same)
+    aggs, out = [], []
+    for k, (name, q) in enumerate(quantiles.items()):
+        place = (F.col("_m") - 1) * F.lit(float(q))
+        for side, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            inside = (F.col("_cum_n") > at) & (F.col("_cum_n") - F.col("_n") <= at)
+            aggs.append(F.max(F.when(inside, F.col("_x"))).alias(f"_{side}{k}"))
+        aggs.append(F.max(place - F.floor(place)).alias(f"_f{k}"))
+        lo, hi = F.col(f"_lo{k}").cast("double"), F.col(f"_hi{k}").cast("double")
+        out.append((lo + (hi - lo) * F.col(f"_f{k}")).alias(name))
+    return x.groupBy(*group_cols).agg(*aggs).select(*group_cols, *out)
+
+
 def ntile_from_position(pos: Column, n: Column, tiles: int) -> Column:
     """NTILE(tiles) of the row at 1-based position ``pos`` among ``n`` rows."""
     r0 = pos - 1

@@ -172,6 +172,28 @@ def roc_pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
         F.try_divide(F.col("_a"), F.col("P") * F.col("N")).alias("roc_auc"), "average_precision")
 
 
+def grouped_auc(df: DataFrame, group_cols: list[str], label: str, score: str) -> DataFrame:
+    """(group..., positives, negatives, roc_auc) of many folds and models from one curve.
+
+    Rows become counts per (group, score); running counts per group give the
+    pairs that a positive wins (ties count half). Groups of a single class are
+    left out."""
+    from .common import segmented_prefix
+    x = df.groupBy(*group_cols, F.col(score).alias("_s")).agg(
+        F.count_if(F.col(label) > 0).alias("_p"), F.count_if(F.col(label) <= 0).alias("_n"))
+    x = segmented_prefix(x, group_cols, [F.col("_s")], {"n": F.col("_n")})
+    won = F.col("_p") * (F.col("_cum_n") - F.col("_n") / 2.0)
+    per = x.groupBy(*group_cols).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum(won).alias("_won"))
+    return per.where("positives > 0 AND negatives > 0").select(
+        *group_cols, "positives", "negatives", (F.col("_won") / (F.col("positives") * F.col("negatives"))).alias("roc_auc"))
+
+
+def ci95_by(df: DataFrame, group_cols: list[str], value: str) -> DataFrame:
+    """T09 per group: number of folds, mean, population sd and mean ± 1.96·sd."""
+    per = df.groupBy(*group_cols).agg(F.count(value).alias("folds"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return per.withColumn("ci_low", F.col("mean") - 1.96 * F.col("std")).withColumn("ci_high", F.col("mean") + 1.96 * F.col("std"))
+
+
 def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
     """Confusion matrix, precision, recall and F1 at ``score >= threshold``."""
     pred = F.col(score) >= threshold

@@ -34,19 +34,42 @@ def _stored(spark, sf_dir, model, build):
     return _STORED[key]
 
 
+def governance_model(spark, sf_dir, cols=tuple(FEATURES)):
+    """The fitted members over ``cols``: their tables are stored, so that all queries share one fit."""
+    parts = {}
+
+    def build():
+        parts.update(gm.fit_governance(features(spark, sf_dir), list(cols), TRAIN, VAL, TEST, GOV_PARAMS))
+        return ()
+
+    key = (spark.sparkContext.applicationId, "members", cols, *source_signature(spark, sf_dir))
+    if key not in _STORED:
+        build()
+        _STORED[key] = (parts,)
+    return _STORED[key][0]
+
+
 def governance_scored(spark, sf_dir):
-    return _stored(spark, sf_dir, "governance",
-                   lambda: gm.score_contracts(features(spark, sf_dir), FEATURES, TRAIN, VAL, TEST, GOV_PARAMS))
+    return _stored(spark, sf_dir, "governance", lambda: gm.score_governance(governance_model(spark, sf_dir)))
+
+
+def price_residuals(spark, sf_dir):
+    """Rows with the market model's honest residuals: all that m11 and v26 need."""
+    def build():
+        return (pm.market_residuals(*pm.fit_market(pm.price_rows(pr.price_proxy(C(spark, sf_dir)), PRICE_PARAMS), PRICE_PARAMS), PRICE_PARAMS.folds),)
+    return _stored(spark, sf_dir, "residuals", build)[0]
 
 
 def price_flags(spark, sf_dir):
-    return _stored(spark, sf_dir, "price", lambda: pm.price_anomalies(pr.price_proxy(C(spark, sf_dir)), PRICE_PARAMS))
+    def scores():
+        return (pm.detector_scores(pm.detector_rows(price_residuals(spark, sf_dir)), PRICE_PARAMS),)
+    return _stored(spark, sf_dir, "price", lambda: pm.consensus(_stored(spark, sf_dir, "detectors", scores)[0], PRICE_PARAMS))
 
 
 @register("m05_governance_scores")
 def m05_governance_scores(spark, sf_dir):
     """RF + GBT + LR ensemble, out-of-fold (train years) and held-out (test year) scores, risk class."""
-    return governance_scored(spark, sf_dir)[0]
+    return governance_scored(spark, sf_dir)[0].drop("fold")
 
 
 @register("m05_governance_metrics")
@@ -55,6 +78,47 @@ def m05_governance_metrics(spark, sf_dir):
     return gm.headline_metrics(*governance_scored(spark, sf_dir))
 
 
+@register("m05_cross_validation")
+def m05_cross_validation(spark, sf_dir):
+    """Shuffled and forward-chaining AUC of every member: folds, mean, sd, interval."""
+    forward = gm.forward_auc(features(spark, sf_dir), FEATURES, (TRAIN[0], VAL[1]), GOV_PARAMS)
+    return gm.validation_table(gm.shuffled_auc(governance_scored(spark, sf_dir)[0]), forward)
+
+
+@register("b11_forward_chaining_auc")
+def b11_forward_chaining_auc(spark, sf_dir):
+    """AUC of every member on each year after fitting on all years before it."""
+    return gm.forward_auc(features(spark, sf_dir), FEATURES, (TRAIN[0], VAL[1]), GOV_PARAMS)
+
+
+#: attributions and importances need two features at least
+WIDER = ("contract_value_log", "buyer_concentration_hhi")
+
+
+@register("m08_feature_importances")
+def m08_feature_importances(spark, sf_dir):
+    """The three features with the largest share of the split gain, per tree member."""
+    return gm.feature_importances(governance_model(spark, sf_dir, WIDER), 3)
+
+
+@register("m09_path_attributions")
+def m09_path_attributions(spark, sf_dir):
+    """Exact path attribution of every feature for every test row of the boosted member."""
+    return gm.contributions(governance_model(spark, sf_dir, WIDER))
+
+
+@register("m09_attribution_ranking")
+def m09_attribution_ranking(spark, sf_dir):
+    """Features by mean absolute contribution over the test rows."""
+    return gm.attribution_ranking(gm.contributions(governance_model(spark, sf_dir, WIDER)))
+
+
+@register("m11_price_quality")
+def m11_price_quality(spark, sf_dir):
+    """Held-out R², RMSE and its reduction against category medians, five-fold R² interval of the fitted model."""
+    return pm.market_quality(price_residuals(spark, sf_dir))
+
+
 @register("m18_price_anomalies")
 def m18_price_anomalies(spark, sf_dir):
     """GBT market model, honest residuals, LOF/IF/robust-covariance flags, 2-of-3 consensus."""

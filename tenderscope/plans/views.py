@@ -457,7 +457,7 @@ def k07_expectation_bands(spark, sf_dir):
 @register("v26_predicted_vs_actual")
 def v26_predicted_vs_actual(spark, sf_dir):
     """Predicted vs actual log price of the market model (actual = predicted + residual)."""
-    from .ml import price_flags
-    f = price_flags(spark, sf_dir)[0]
+    from .ml import price_residuals
+    f = price_residuals(spark, sf_dir)
     return f.select("contract_id", "predicted_log_price", (F.col("predicted_log_price") + F.col("gb_residual")).alias("actual_log_price"),
                     "residual_source")
