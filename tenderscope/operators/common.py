@@ -177,6 +177,18 @@ def grouped_quantiles(df: DataFrame, group_cols: list[str], value: str, quantile
     return x.groupBy(*group_cols).agg(*aggs).select(*group_cols, *out)
 
 
+def with_quantiles(per_group: DataFrame, df: DataFrame, group_cols: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """``per_group`` (one row a group) with exact quantiles of ``value`` over the rows of ``df``."""
+    q = grouped_quantiles(df, group_cols, value, quantiles)
+    if not group_cols:
+        return with_scalar(per_group, q)
+    same = F.lit(True)
+    for c in group_cols:
+        q = q.withColumnRenamed(c, f"_q_{c}")
+        same &= F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return per_group.join(q, same, "left").drop(*[f"_q_{c}" for c in group_cols])
+
+
 def ntile_from_position(pos: Column, n: Column, tiles: int) -> Column:
     """NTILE(tiles) of the row at 1-based position ``pos`` among ``n`` rows."""
     r0 = pos - 1

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import competition_risk, mean_of, procedure_risk, single_bid_zero_null
+from .common import with_quantiles
 
 # fixed values: buyer-type ladder (case-insensitive patterns on the buyer name)
 BUYER_TYPE_LADDER = (
@@ -31,24 +32,24 @@ def buyer_type(name="buyer_name") -> Column:
 def procedure_analysis(contracts: DataFrame) -> DataFrame:
     """Q04: per procedure (bid count known): count, single bidders (= 1), %, mean bids, median price."""
     single = F.sum(F.when(F.col("bid_count") == 1, 1).otherwise(0))
-    return (contracts.where(F.col("bid_count").isNotNull()).groupBy("procedure_type")
-            .agg(F.count(F.lit(1)).alias("total_contracts"), single.alias("single_bidder"),
-                 (100.0 * single.cast("double") / F.nullif(F.count(F.lit(1)).cast("double"), F.lit(0.0)))
-                 .alias("single_bidder_pct"),
-                 F.avg("bid_count").alias("avg_bids"),
-                 F.median(F.col("final_price")).alias("median_price")))
+    known = contracts.where(F.col("bid_count").isNotNull())
+    per = (known.groupBy("procedure_type")
+           .agg(F.count(F.lit(1)).alias("total_contracts"), single.alias("single_bidder"),
+                (100.0 * single.cast("double") / F.nullif(F.count(F.lit(1)).cast("double"), F.lit(0.0)))
+                .alias("single_bidder_pct"),
+                F.avg("bid_count").alias("avg_bids")))
+    return with_quantiles(per, known, ["procedure_type"], "final_price", {"median_price": 0.5})
 
 
 def cpv_coverage(contracts: DataFrame, high_coverage_rows: int = 1000) -> DataFrame:
     """Q05: per CPV division (known, priced): rows, buyers, suppliers, mean/median price, coverage flag."""
-    return (contracts.where(F.col("cpv_division").isNotNull() & (F.col("cpv_division") != "UNKNOWN")
-                            & (F.col("final_price") > 0))
-            .groupBy("cpv_division")
-            .agg(F.count(F.lit(1)).alias("record_count"), F.countDistinct("buyer_id").alias("buyers"),
-                 F.countDistinct("supplier_id").alias("suppliers"),
-                 mean_of(F.sum("final_price"), F.count("final_price")).alias("avg_price"),
-                 F.median(F.col("final_price")).alias("median_price"),
-                 (F.count(F.lit(1)) >= high_coverage_rows).alias("high_coverage")))
+    known = contracts.where(F.col("cpv_division").isNotNull() & (F.col("cpv_division") != "UNKNOWN") & (F.col("final_price") > 0))
+    per = (known.groupBy("cpv_division")
+           .agg(F.count(F.lit(1)).alias("record_count"), F.countDistinct("buyer_id").alias("buyers"),
+                F.countDistinct("supplier_id").alias("suppliers"),
+                mean_of(F.sum("final_price"), F.count("final_price")).alias("avg_price"),
+                (F.count(F.lit(1)) >= high_coverage_rows).alias("high_coverage")))
+    return with_quantiles(per, known, ["cpv_division"], "final_price", {"median_price": 0.5})
 
 
 def temporal_analysis(contracts: DataFrame, year_min: int = 2006, year_max: int = 2026) -> DataFrame:
@@ -158,12 +159,12 @@ def buyer_type_summary(contracts: DataFrame) -> DataFrame:
 
 def dataset_summary(contracts: DataFrame) -> DataFrame:
     """Dataset fact sheet as one row (true counts, no estimates)."""
-    return contracts.agg(
+    one = contracts.agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("contract_id").alias("contracts"),
         F.countDistinct("buyer_id").alias("buyers"), F.countDistinct("supplier_id").alias("suppliers"),
         F.countDistinct("cpv_division").alias("cpv_divisions"), F.sum("contract_value").alias("total_value"),
-        F.median(F.col("contract_value")).alias("median_value"),
         F.min("award_year").alias("first_year"), F.max("award_year").alias("last_year"))
+    return with_quantiles(one, contracts, [], "contract_value", {"median_value": 0.5})
 
 
 def top_suppliers_by_count(contracts: DataFrame, top: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import dependency_class, single_bid_zero_null
-from .common import global_order_prefix, ntile_from_position, top_k_per_group, with_scalar
+from .common import global_order_prefix, ntile_from_position, segmented_prefix, top_k_per_group, with_scalar
 
 
 def _valid_pairs(contracts: DataFrame) -> DataFrame:
@@ -178,16 +178,16 @@ def hist_hhi_rowlevel(contracts: DataFrame) -> DataFrame:
     Reproduces the published definition (one supplier with three rows in a
     year contributes three squares). The published frame is ordered by year
     only; we add a total order (date, supplier, contract, value) so the result
-    is deterministic. Partitioned by buyer.
+    is deterministic. Both running sums are segmented prefixes: a buyer with most
+    of the rows spans many tasks.
     """
     valid = _valid_pairs(contracts)
     order = [F.col("award_year"), F.col("award_date"), F.col("supplier_id"), F.col("contract_id"),
              F.col("contract_value")]
-    w_sup = Window.partitionBy("buyer_id", "supplier_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    w_buy = Window.partitionBy("buyer_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    s = (valid.withColumn("_cs", F.sum("contract_value").over(w_sup))
-         .withColumn("_cb", F.sum("contract_value").over(w_buy)))
-    share = F.col("_cs") / F.nullif(F.col("_cb"), F.lit(0.0))
+    cols = ["buyer_id", "supplier_id", "award_year", "award_date", "contract_id", "contract_value"]
+    s = segmented_prefix(valid.select(*cols), ["buyer_id"], order, {"buyer": F.col("contract_value")})
+    s = segmented_prefix(s, ["buyer_id", "supplier_id"], [c for c in order if c is not order[2]], {"supplier": F.col("contract_value")})
+    share = F.col("_cum_supplier") / F.nullif(F.col("_cum_buyer"), F.lit(0.0))
     return (s.groupBy("buyer_id", "award_year").agg(F.sum(share * share).alias("hhi_historical")))
 
 

@@ -24,6 +24,50 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Rounds:
+    """The tables of one iterative job, in a folder of its own below the shared checkpoint folder.
+
+    A slot holds the newest table of its name: writing it again deletes the
+    former one once the new one is complete, so the folder holds a constant
+    number of tables however many rounds a job takes. Plans that still read a
+    former table must not be used after that."""
+
+    def __init__(self, spark, name: str):
+        import uuid
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rounds/{name}-{uuid.uuid4().hex}"
+        self._held: dict[str, str] = {}
+        self._written = 0
+
+    def put(self, slot: str, df: DataFrame, **counts) -> DataFrame:
+        """Write ``df`` into ``slot`` and read it back; ``counts`` are aggregates of its rows, taken
+        while it is written and kept in ``self.seen``."""
+        self._written += 1
+        path = f"{self.folder}/{slot}-{self._written}"
+        if counts:
+            from pyspark.sql import Observation
+            taken = Observation()
+            df = df.observe(taken, *[c.alias(n) for n, c in counts.items()])
+        df.write.parquet(path)
+        self.seen = taken.get if counts else {}
+        if slot in self._held:
+            self._delete(self._held[slot])
+        self._held[slot] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def tables(self) -> list[str]:
+        return sorted(self._held.values())
+
+    def close(self) -> None:
+        """Delete all tables: what outlives the job has been written elsewhere."""
+        self._delete(self.folder)
+        self._held = {}
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def iterative_plan_settings(spark):
     """Checkpointed relations carry the constraints of the plan they came

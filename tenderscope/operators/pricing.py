@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import mean_of
+from .common import grouped_quantiles, with_quantiles
 
 
 def price_proxy(contracts: DataFrame, min_priced_per_cpv: int = 300) -> DataFrame:
@@ -28,11 +29,10 @@ def price_proxy(contracts: DataFrame, min_priced_per_cpv: int = 300) -> DataFram
 
 def priced_cpv_coverage(features: DataFrame, top: int = 25) -> DataFrame:
     """Priced contracts, mean and median price per CPV, top by count."""
-    return (features.groupBy("cpv_division")
-            .agg(F.count(F.lit(1)).alias("priced_contracts"),
-                 mean_of(F.sum("final_price"), F.count("final_price")).alias("mean_price"),
-                 F.median(F.col("final_price")).alias("median_price"))
-            .orderBy(F.col("priced_contracts").desc(), "cpv_division").limit(top))
+    per = (features.groupBy("cpv_division")
+           .agg(F.count(F.lit(1)).alias("priced_contracts"), mean_of(F.sum("final_price"), F.count("final_price")).alias("mean_price")))
+    return with_quantiles(per, features, ["cpv_division"], "final_price", {"median_price": 0.5}) \
+        .orderBy(F.col("priced_contracts").desc(), "cpv_division").limit(top)
 
 
 def log_price_distribution(features: DataFrame) -> DataFrame:
@@ -66,8 +66,8 @@ def median_baseline_rmse(df: DataFrame, group_col: str, target: str, prediction:
 
     Returns one row: rmse_model, rmse_baseline, rmse_reduction, r2.
     """
-    med = df.groupBy(group_col).agg(F.median(F.col(target)).alias("_gm"))
-    glob = df.agg(F.median(F.col(target)).alias("_glob"), F.avg(target).alias("_mean"))
+    med = grouped_quantiles(df, [group_col], target, {"_gm": 0.5})
+    glob = with_quantiles(df.agg(F.avg(target).alias("_mean")), df, [], target, {"_glob": 0.5})
     j = df.join(med, group_col, "left").crossJoin(F.broadcast(glob))
     base = F.coalesce(F.col("_gm"), F.col("_glob"))
     agg = j.agg(F.sqrt(F.avg(F.pow(F.col(target) - F.col(prediction), 2))).alias("rmse_model"),

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_order_prefix, with_scalar
+from .common import global_order_prefix, with_quantiles, with_scalar
 
 
 def log10_histogram(df: DataFrame, col: str, width: float = 0.1) -> DataFrame:
@@ -18,10 +18,9 @@ def log10_histogram(df: DataFrame, col: str, width: float = 0.1) -> DataFrame:
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Min, quartiles, median, max per group (exact percentiles)."""
-    return df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("min"),
-        F.percentile(F.col(value), 0.25).alias("q1"), F.median(F.col(value)).alias("median"),
-        F.percentile(F.col(value), 0.75).alias("q3"), F.max(value).alias("max"))
+    per = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return with_quantiles(per, df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}) \
+        .select(group, "n", "min", "q1", "median", "q3", "max")
 
 
 def exact_median(df: DataFrame, value, measure: str) -> DataFrame:
