@@ -49,7 +49,8 @@ def governance_features(contracts: DataFrame, parity: bool = False) -> DataFrame
     c = contracts.where(F.col("buyer_id").isNotNull() & F.col("supplier_id").isNotNull() & (F.col("contract_value") > 0))
     bd = eco.buyer_dependency(contracts).select("buyer_id", "buyer_dependency_ratio")
     cp = comp.cpv_coverage(contracts).select("cpv_division", "record_count", "high_coverage")
-    sb = hist.supplier_behavior(contracts, parity=True)
+    # the published gate counts each prior contract once for every row of a repeated focal contract
+    sb = hist.supplier_behavior(contracts, parity=parity)
     if parity:
         hh = eco.hist_hhi_rowlevel(contracts).withColumnRenamed("hhi_historical", "_hhi")
         cr = comp.competition_risk_features(contracts).select("contract_id", "procedure_risk", "competition_risk")

@@ -1,7 +1,8 @@
 """Iterative graph algorithms on DataFrames: connected components (R11) and
-PageRank (R06). Vertices get dense long ids once (materialised), every round
-is a join + aggregate whose result is written below ``spark.checkpoint.dir``, so
-the plan keeps its size and a lost executor recomputes at most one round."""
+PageRank (R06). Vertices get long ids once (materialised), every round is one
+job whose result is written below ``spark.checkpoint.dir`` in place of the former
+round's, so the plan and the disk keep their size and a lost executor recomputes
+at most one round."""
 
 from __future__ import annotations
 
@@ -53,6 +54,9 @@ class Rounds:
         if slot in self._held:
             self._delete(self._held[slot])
         self._held[slot] = path
+        if self._written % 16 == 0:
+            # the cleaner deletes shuffle files of finished rounds once the driver has collected their plans
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def tables(self) -> list[str]:
@@ -92,39 +96,52 @@ def vertex_ids(edges: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame:
     return v.checkpoint(eager=True)
 
 
+def star_components(pairs: DataFrame, rounds: Rounds) -> DataFrame:
+    """(v, root): for every vertex of the edges ``pairs`` (a, b of longs) the smallest vertex of its component.
+
+    Alternating stars (Kiveris et al. 2014): a large star links the larger
+    neighbours of every vertex to its smallest neighbour, a small star its smaller
+    ones. Edges are rewired in place of labels being passed along them, so a
+    round reads ever fewer distinct edges; on a path the rounds grow with the
+    logarithm of its length. The job ends when a round changes no edge."""
+    e = pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    stamp = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("hi", "lo"))}
+    e = rounds.put("stars", e, **stamp)
+    seen = None
+    while rounds.seen != seen:
+        seen = rounds.seen
+        both = e.select(F.col("hi").alias("c"), F.col("lo").alias("o")).unionByName(e.select(F.col("lo").alias("c"), F.col("hi").alias("o")))
+        least = both.groupBy("c").agg(F.min("o").alias("o")).select(F.col("c").alias("lo"), F.least("c", "o").alias("m"))
+        large = e.join(least, "lo").select("hi", F.col("m").alias("lo")).distinct()
+        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        linked = large.join(small, "hi")
+        new = (linked.where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+               .unionByName(small.select("hi", F.col("m").alias("lo"))).distinct())
+        e = rounds.put("stars", new, **stamp)
+    return e.select(F.col("hi").alias("v"), F.col("lo").alias("root"))
+
+
 def connected_components(edges: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame:
     """(key..., node_id, component_id) with component_id = smallest node_id
     of the component. ``key_cols`` runs many independent graphs (e.g. removal
-    scenarios) in the same job.
+    scenarios) in the same job: vertex numbers are unique over all of them.
 
-    Min-label propagation with pointer jumping: each round every vertex takes
-    the smallest label among itself and its neighbours, then the label of its
-    label. Every round is written out, so the next one starts from a plain scan;
-    the loop ends when no label changes, however many rounds that takes.
+    Vertices get long numbers, alternating stars find each one's root, and the
+    roots take the smallest name below them.
     """
     keys = list(key_cols)
     spark = edges.sparkSession
     with iterative_plan_settings(spark):
-        vids = materialize(vertex_ids(edges, key_cols))
-        e = (edges.join(vids.withColumnRenamed("node_id", "src").withColumnRenamed("vid", "a"), [*keys, "src"])
-             .join(vids.withColumnRenamed("node_id", "dst").withColumnRenamed("vid", "b"), [*keys, "dst"])
-             .select(*keys, "a", "b"))
-        adj = materialize(e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        labels, changed = vids.select(*keys, "vid", F.col("vid").alias("label")), True
-        while changed:
-            nbr = (adj.join(labels.withColumnRenamed("vid", "b"), [*keys, "b"])
-                   .groupBy(*keys, "a").agg(F.min("label").alias("_m")).withColumnRenamed("a", "vid"))
-            step = materialize(labels.join(nbr, [*keys, "vid"], "left")
-                               .select(*keys, "vid", F.least("label", F.coalesce("_m", "label")).alias("label"),
-                                       F.col("label").alias("_old")))
-            jump = step.select(*keys, F.col("vid").alias("label"), F.col("label").alias("_l2"))
-            moved = materialize(step.join(jump, [*keys, "label"], "left")
-                                .select(*keys, "vid", F.least("label", F.coalesce("_l2", "label")).alias("label"), "_old"))
-            changed = bool(moved.where(F.col("label") != F.col("_old")).limit(1).count())
-            labels = moved.drop("_old")
-        named = labels.join(vids, [*keys, "vid"])
-        comp_name = named.groupBy(*keys, "label").agg(F.min("node_id").alias("component_id"))
-        return named.join(comp_name, [*keys, "label"]).select(*keys, "node_id", "component_id")
+        rounds = Rounds(spark, "components")
+        vids = rounds.put("vids", vertex_ids(edges, key_cols))
+        pairs = (edges.join(vids.withColumnRenamed("node_id", "src").withColumnRenamed("vid", "a"), [*keys, "src"])
+                 .join(vids.withColumnRenamed("node_id", "dst").withColumnRenamed("vid", "b"), [*keys, "dst"]).select("a", "b"))
+        stars = star_components(pairs, rounds)
+        named = vids.join(stars.withColumnRenamed("v", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+        names = named.groupBy("root").agg(F.min("node_id").alias("component_id"))
+        out = materialize(named.join(names, "root").select(*keys, "node_id", "component_id"))
+        rounds.close()
+        return out
 
 
 def component_summary(components: DataFrame) -> DataFrame:
@@ -155,6 +172,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
     """
     spark = edges.sparkSession
     with iterative_plan_settings(spark):
+        rounds = Rounds(spark, "pagerank")
         vids = materialize(vertex_ids(edges))
         n = vids.count()
         if not n:
@@ -174,11 +192,14 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
             contrib = (trans.join(state.select(F.col("vid").alias("a"), "pr"), "a")
                        .groupBy("b").agg(F.sum(F.col("pr") * F.col("p")).alias("_c")).withColumnRenamed("b", "vid"))
             rank = alpha * (F.coalesce(F.col("_c"), F.lit(0.0)) + lost / n) + (1 - alpha) / n
-            state = materialize(state.withColumnRenamed("pr", "_old").join(contrib, "vid", "left")
-                                .select("vid", "dangling", "_old", rank.alias("pr")))
-            err, lost = state.agg(F.sum(F.abs(F.col("pr") - F.col("_old"))),
-                                  F.sum(F.when(F.col("dangling"), F.col("pr")).otherwise(0.0))).first()
-            state = state.drop("_old")
+            state = rounds.put("state", state.withColumnRenamed("pr", "_old").join(contrib, "vid", "left")
+                               .select("vid", "dangling", "_old", rank.alias("pr")),
+                               err=F.sum(F.abs(F.col("pr") - F.col("_old"))),
+                               lost=F.sum(F.when(F.col("dangling"), F.col("pr")).otherwise(0.0))).drop("_old")
+            err, lost = rounds.seen["err"], rounds.seen["lost"] or 0.0
             if err < n * tol:
+                state = materialize(state)
+                rounds.close()
                 return state.join(vids, "vid").select("node_id", F.col("pr").alias("pagerank"))
+        rounds.close()
         raise RuntimeError(f"PageRank did not converge in {max_iter} rounds (L1 change {err:.3g})")

@@ -69,31 +69,90 @@ def removal_impact(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
                     .alias("sole_source_after")))
 
 
+def affected_buyers(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(scenario_id, node_id): buyers that lose a supplier and are not removed themselves."""
+    sc = scenarios.select("scenario_id", "node_id").distinct()
+    lost = edges.join(sc.withColumnRenamed("node_id", "dst"), "dst").select("scenario_id", F.col("src").alias("node_id")).distinct()
+    return lost.join(sc, ["scenario_id", "node_id"], "left_anti")
+
+
+def dependency_shift(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(scenario_id, buyer, dependency_before, dependency_after) of affected buyers: the share of the largest
+    supplier in the buyer's value with all suppliers and with the remaining ones (0 when none remains)."""
+    sc = scenarios.select("scenario_id", F.col("node_id").alias("dst"), F.lit(True).alias("_gone")).distinct()
+    rows = (affected_buyers(edges, scenarios).withColumnRenamed("node_id", "src").join(edges.select("src", "dst", "weight"), "src")
+            .join(sc, ["scenario_id", "dst"], "left").withColumn("_left", F.when(F.col("_gone").isNull(), F.col("weight"))))
+    per = rows.groupBy("scenario_id", "src").agg(*[f(c).alias(f"_{n}_{c}") for c in ("weight", "_left") for n, f in (("max", F.max), ("sum", F.sum))])
+    share = lambda c: F.when(F.col(f"_sum_{c}") > 0, F.col(f"_max_{c}") / F.col(f"_sum_{c}")).otherwise(0.0)
+    return per.select("scenario_id", F.col("src").alias("buyer"), share("weight").alias("dependency_before"),
+                      share("_left").alias("dependency_after"))
+
+
+def substitutability(edges: DataFrame, scenarios: DataFrame, buyer_category: DataFrame) -> DataFrame:
+    """(scenario_id, buyer, substitutes): suppliers that serve buyers of an affected buyer's category and are
+    not removed; 0 for buyers without category. ``buyer_category`` is (node_id, category).
+
+    Counted as all suppliers of the category less the removed ones in it: neither set is made."""
+    sc = scenarios.select("scenario_id", F.col("node_id").alias("dst")).distinct()
+    kinds = buyer_category.where(F.col("category").isNotNull()).select(F.col("node_id").alias("src"), "category")
+    active = edges.select("src", "dst").join(kinds, "src").select("category", "dst").distinct()
+    everyone = active.groupBy("category").agg(F.count(F.lit(1)).alias("_all"))
+    gone = active.join(sc, "dst").groupBy("scenario_id", "category").agg(F.count(F.lit(1)).alias("_gone"))
+    return (affected_buyers(edges, scenarios).withColumnRenamed("node_id", "src").join(kinds, "src", "left")
+            .join(everyone, "category", "left").join(gone, ["scenario_id", "category"], "left")
+            .select("scenario_id", F.col("src").alias("buyer"),
+                    (F.coalesce("_all", F.lit(0)) - F.coalesce("_gone", F.lit(0))).cast("long").alias("substitutes")))
+
+
+def community_value_removed(edges: DataFrame, scenarios: DataFrame, partition: DataFrame) -> DataFrame:
+    """(scenario_id, community_id, internal_value_removed_share) of the communities of removed nodes: the part of a
+    community's internal value (both ends inside) that lies on edges of removed nodes; 0 without internal value."""
+    sc = scenarios.select("scenario_id", "node_id").distinct()
+    p = partition.select("node_id", "community_id")
+    inner = (edges.select("src", "dst", "weight").join(p.withColumnRenamed("node_id", "src"), "src")
+             .join(p.select(F.col("node_id").alias("dst"), F.col("community_id").alias("_cd")), "dst").where(F.col("community_id") == F.col("_cd")))
+    total = inner.groupBy("community_id").agg(F.sum("weight").alias("_all"))
+    hit = (inner.join(sc.withColumnRenamed("node_id", "src"), "src").select("scenario_id", "community_id", "src", "dst", "weight")
+           .unionByName(inner.join(sc.withColumnRenamed("node_id", "dst"), "dst").select("scenario_id", "community_id", "src", "dst", "weight")).distinct())
+    removed = hit.groupBy("scenario_id", "community_id").agg(F.sum("weight").alias("_gone"))
+    touched = sc.join(p, "node_id").select("scenario_id", "community_id").distinct()
+    share = F.when(F.col("_all") != 0, F.coalesce("_gone", F.lit(0.0)) / F.col("_all")).otherwise(0.0)
+    return touched.join(total, "community_id", "left").join(removed, ["scenario_id", "community_id"], "left") \
+        .select("scenario_id", "community_id", share.alias("internal_value_removed_share"))
+
+
+def removed_cut_vertices(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(scenario_id, node_id, is_articulation_point) of every removed node in the unchanged graph."""
+    from .blocks import biconnected
+    flags = biconnected(edges)["nodes"].select("node_id", "is_articulation_point")
+    return scenarios.select("scenario_id", "node_id").distinct().join(flags, "node_id").select("scenario_id", "node_id", "is_articulation_point")
+
+
 def removal_component_shares(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Largest-component share of all nodes before and after each removal.
 
-    Scenarios are a short what-if list: the scenario ids are read on the driver
-    and each scenario's surviving graph (edges minus those touching its removal
-    set, an anti join) gets its own distributed component job. Nodes left
-    without edges count as singleton components.
+    Every scenario's surviving graph is a copy of the edges under its key (a
+    what-if list is short), the whole graph is one more; all are labelled in the
+    same component rounds. Nodes left without edges are components of one node.
     """
-    spark = edges.sparkSession
-    sc = scenarios.select("scenario_id", "node_id").distinct().cache()
-    n_all = incidence(edges).select("node_id").distinct().count()
-    giant_before = (connected_components(edges).groupBy("component_id").agg(F.count(F.lit(1)).alias("_s"))
-                    .agg(F.max("_s")).first()[0] or 0)
-    rows = []
-    for sid in [r[0] for r in sc.select("scenario_id").distinct().orderBy("scenario_id").collect()]:
-        removed = sc.where(F.col("scenario_id") == sid).select("node_id")
-        n_removed = removed.count()
-        kept = (edges.join(removed.withColumnRenamed("node_id", "src"), "src", "left_anti")
-                .join(removed.withColumnRenamed("node_id", "dst"), "dst", "left_anti"))
-        giant_after = 0
-        if kept.limit(1).count():
-            giant_after = (connected_components(kept).groupBy("component_id").agg(F.count(F.lit(1)).alias("_s"))
-                           .agg(F.max("_s")).first()[0])
-        n_after = n_all - n_removed
-        after = (max(giant_after, 1) / n_after) if n_after > 0 else 0.0
-        rows.append((sid, giant_before / n_all if n_all else 0.0, float(after)))
-    return spark.createDataFrame(rows, "scenario_id string, largest_component_share_before double, "
-                                       "largest_component_share_after double")
+    sc = scenarios.select("scenario_id", "node_id").distinct()
+    ids = sc.select("scenario_id").distinct()
+    e = edges.select("src", "dst")
+    copies = e.crossJoin(F.broadcast(ids))
+    kept = (copies.join(sc.withColumnRenamed("node_id", "src"), ["scenario_id", "src"], "left_anti")
+            .join(sc.withColumnRenamed("node_id", "dst"), ["scenario_id", "dst"], "left_anti"))
+    keyed = kept.select(F.struct(F.lit(1).alias("after"), "scenario_id").alias("k"), "src", "dst") \
+        .unionByName(e.select(F.struct(F.lit(0).alias("after"), F.lit(None).cast(sc.schema["scenario_id"].dataType).alias("scenario_id")).alias("k"), "src", "dst"))
+    names = keyed.select(F.to_json("k").alias("k"), "src", "dst")  # a join key without nulls
+    sizes = connected_components(names, ("k",)).groupBy("k", "component_id").agg(F.count(F.lit(1)).alias("_s")) \
+        .groupBy("k").agg(F.max("_s").alias("_giant"))
+    nodes = incidence(edges.select("src", "dst", F.lit(0.0).alias("weight"), F.lit(0).alias("contracts"))).select("node_id").distinct()
+    n = nodes.agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.where(F.col("k") == F.to_json(F.struct(F.lit(0).alias("after")))).select(F.col("_giant").alias("_before"))
+    # removed nodes of the graph, as many as the what-if list names
+    gone = sc.join(nodes, "node_id").groupBy("scenario_id").agg(F.count(F.lit(1)).alias("_gone"))
+    out = ids.withColumn("k", F.to_json(F.struct(F.lit(1).alias("after"), "scenario_id"))).join(sizes, "k", "left").join(gone, "scenario_id", "left")
+    out = out.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(before))
+    rest = F.col("_n") - F.coalesce("_gone", F.lit(0))
+    return out.select("scenario_id", (F.col("_before") / F.col("_n")).alias("largest_component_share_before"),
+                      F.when(rest > 0, F.greatest(F.coalesce("_giant", F.lit(1)), F.lit(1)) / rest).otherwise(0.0).alias("largest_component_share_after"))

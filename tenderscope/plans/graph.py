@@ -272,6 +272,65 @@ def r17_removal_component_shares(spark, sf_dir):
     return grm.removal_component_shares(e, scenarios(e))
 
 
+BUYER_CPV_SQL = """per_cpv AS (SELECT buyer_id, cpv_division, COUNT(*) AS n FROM contracts_base WHERE buyer_id IS NOT NULL GROUP BY 1, 2),
+buyer_cpv AS (SELECT 'B_' || buyer_id AS node_id, ARG_MIN(cpv_division, (-n, cpv_division)) AS category FROM per_cpv GROUP BY 1)"""
+
+AFFECTED_SQL = """hit AS (SELECT DISTINCT sc.scenario_id, e.src AS buyer FROM edges e JOIN sc ON e.dst = sc.node_id),
+affected AS (FROM hit WHERE (scenario_id, buyer) NOT IN (SELECT (scenario_id, node_id) FROM sc))"""
+
+
+def buyer_category(spark, sf_dir):
+    from ..operators.common import top_k_per_group
+    c = C(spark, sf_dir).where(F.col("buyer_id").isNotNull()).groupBy("buyer_id", "cpv_division").agg(F.count(F.lit(1)).alias("n"))
+    t = top_k_per_group(c, ["buyer_id"], [F.col("n").desc(), F.col("cpv_division")], 1, salt_col="cpv_division")
+    return t.select(F.concat(F.lit("B_"), "buyer_id").alias("node_id"), F.col("cpv_division").alias("category"))
+
+
+@register("r17_dependency_shift", r6=("dependency_before", "dependency_after"), sql="WITH " + EDGES_SQL + ",\n" + SCEN_SQL + ",\n" + AFFECTED_SQL + """,
+kept AS (SELECT a.scenario_id, a.buyer, e.weight,
+                CASE WHEN (a.scenario_id, e.dst) IN (SELECT (scenario_id, node_id) FROM sc) THEN NULL ELSE e.weight END AS left_weight
+         FROM affected a JOIN edges e ON e.src = a.buyer)
+SELECT scenario_id, buyer, COALESCE(MAX(weight) / SUM(weight), 0) AS dependency_before,
+       COALESCE(MAX(left_weight) / SUM(left_weight), 0) AS dependency_after FROM kept GROUP BY scenario_id, buyer""")
+def r17_dependency_shift(spark, sf_dir):
+    """Largest-supplier share of every affected buyer before and after each removal."""
+    e = edges(spark, sf_dir)
+    return grm.dependency_shift(e, scenarios(e))
+
+
+@register("r17_substitutability", sql="WITH " + EDGES_SQL + ",\n" + SCEN_SQL + ",\n" + AFFECTED_SQL + ",\n" + BUYER_CPV_SQL + """
+SELECT a.scenario_id, a.buyer,
+       (SELECT COUNT(DISTINCT e.dst) FROM edges e JOIN buyer_cpv o ON o.node_id = e.src
+        WHERE o.category = b.category AND (a.scenario_id, e.dst) NOT IN (SELECT (scenario_id, node_id) FROM sc)) AS substitutes
+FROM affected a LEFT JOIN buyer_cpv b ON b.node_id = a.buyer""")
+def r17_substitutability(spark, sf_dir):
+    """Remaining suppliers in the category of every affected buyer."""
+    e = edges(spark, sf_dir)
+    return grm.substitutability(e, scenarios(e), buyer_category(spark, sf_dir))
+
+
+@register("r17_community_value_removed", r6=("internal_value_removed_share",), sql="WITH " + EDGES_SQL + ",\n" + SCEN_SQL + ",\n" + REGION_SQL + """,
+inner_edges AS (SELECT e.*, p.community_id AS c FROM edges e JOIN region_part p ON p.node_id = e.src JOIN region_part q ON q.node_id = e.dst
+                WHERE p.community_id = q.community_id),
+touched AS (SELECT DISTINCT scenario_id, community_id AS c FROM sc JOIN region_part USING (node_id))
+SELECT t.scenario_id, t.c AS community_id,
+       COALESCE((SELECT SUM(weight) FROM inner_edges i WHERE i.c = t.c AND EXISTS (
+                   SELECT 1 FROM sc WHERE sc.scenario_id = t.scenario_id AND sc.node_id IN (i.src, i.dst)))
+                / (SELECT SUM(weight) FROM inner_edges i WHERE i.c = t.c), 0) AS internal_value_removed_share
+FROM touched t""")
+def r17_community_value_removed(spark, sf_dir):
+    """Share of each touched region community's internal value that a removal takes."""
+    e = edges(spark, sf_dir)
+    return grm.community_value_removed(e, scenarios(e), gb.region_partition(C(spark, sf_dir)))
+
+
+@register("r17_removed_cut_vertices")
+def r17_removed_cut_vertices(spark, sf_dir):
+    """Which removed nodes are cut vertices."""
+    e = edges(spark, sf_dir)
+    return grm.removed_cut_vertices(e, scenarios(e))
+
+
 @register("r16_value_stratified_sample", r4=("weight",), sql="WITH " + EDGES_SQL + """,
 d AS (SELECT *, NTILE(10) OVER (ORDER BY weight, src, dst) AS decile FROM edges),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY decile ORDER BY md5('42|' || decile || '|' || src || '|' || dst), src, dst) AS rn,
@@ -320,19 +379,82 @@ def r05_composite_centrality(spark, sf_dir):
 from ..operators.graph import communities as gco  # noqa: E402
 
 
+#: fixed values: the published seeds, communities kept in the top-k comparison and the reported target
+ARI_SEEDS, ARI_TOP_K, ARI_TARGET = (42, 892, 7739, 6545, 4388), 20, 0.70
+
+#: graph results written by this process: (application, name, inputs' listing) -> table
+_STORED: dict[tuple, object] = {}
+
+
+def _stored(spark, sf_dir, name, build):
+    """``build()`` written once per session and input listing, for all queries that read it."""
+    from ..sources.contracts import source_signature
+    key = (spark.sparkContext.applicationId, name, *source_signature(spark, sf_dir))
+    if key not in _STORED:
+        _STORED[key] = gi.materialize(build())
+    return _STORED[key]
+
+
+def communities(spark, sf_dir):
+    return _stored(spark, sf_dir, "louvain", lambda: gco.louvain(edges(spark, sf_dir), seed=42)[0])
+
+
+def ari_pairs(spark, sf_dir):
+    return _stored(spark, sf_dir, "ari", lambda: gm.pairwise_ari(gco.louvain_seeds(edges(spark, sf_dir), ARI_SEEDS), ARI_TOP_K))
+
+
+def null_test(spark, sf_dir):
+    return _stored(spark, sf_dir, "null", lambda: gco.null_model_test(edges(spark, sf_dir), rewires=100, seed=42, rounds=5, alpha=0.01))
+
+
+def giant_edges(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return _stored(spark, sf_dir, "giant", lambda: gi.giant_component_edges(e, gi.connected_components(e)))
+
+
+def giant_scores(spark, sf_dir):
+    return _stored(spark, sf_dir, "giant-scores", lambda: gco.partition_scores(giant_edges(spark, sf_dir), ARI_SEEDS, ARI_TOP_K))
+
+
 @register("r07_communities")
 def r07_communities(spark, sf_dir):
     """Parallel Louvain partition (local moving + contraction levels), seed 42."""
-    return gco.louvain(edges(spark, sf_dir), seed=42)[0]
+    return communities(spark, sf_dir)
 
 
 @register("r07_modularity")
 def r07_modularity(spark, sf_dir):
     """Exact modularity of the parallel Louvain partition."""
-    return gco.louvain(edges(spark, sf_dir), seed=42)[1]
+    return gm.modularity(edges(spark, sf_dir), communities(spark, sf_dir))
+
+
+@register("r14_ari_pairs")
+def r14_ari_pairs(spark, sf_dir):
+    """Adjusted Rand index of all ten pairs of the five seeds' partitions, over all nodes and the top 20 communities."""
+    return ari_pairs(spark, sf_dir)
+
+
+@register("r14_ari_stability")
+def r14_ari_stability(spark, sf_dir):
+    """Mean, min, median, max over the seed pairs and the mean over the top communities."""
+    return gm.ari_summary(ari_pairs(spark, sf_dir))
+
+
+@register("r12_giant_component")
+def r12_giant_component(spark, sf_dir):
+    """The giant component scored anew: modularity, conductance and seed stability of its own partition."""
+    return giant_scores(spark, sf_dir)
 
 
 @register("r15_null_model")
 def r15_null_model(spark, sf_dir):
     """Modularity of Louvain on 100 degree-preserving randomised graphs; null mean and sd, z, empirical p, p < 0.01."""
-    return gco.null_model_test(edges(spark, sf_dir), rewires=100, seed=42, rounds=5, alpha=0.01)
+    return null_test(spark, sf_dir)
+
+
+@register("i05_validation_metrics")
+def i05_validation_metrics(spark, sf_dir):
+    """The one-row validation table of the network: modularity with its null test, conductance, seed stability, giant component."""
+    e = edges(spark, sf_dir)
+    return gco.validation_row(e, communities(spark, sf_dir), null_test(spark, sf_dir), ari_pairs(spark, sf_dir), giant_scores(spark, sf_dir),
+                              gi.component_summary(gi.connected_components(e)), ARI_TARGET, 42)

@@ -32,6 +32,12 @@ focal AS (SELECT supplier_id, contract_id, award_date, COUNT(*) AS k FROM contra
           WHERE supplier_id IS NOT NULL GROUP BY supplier_id, contract_id, award_date)"""
 
 
+#: suppliers' history in which every earlier contract counts once: at least three of them
+Q11_DISTINCT_SQL = "WITH " + history_sql("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING") + """
+SELECT supplier_id, contract_id AS focal_contract, award_date AS focal_award_date, ones / n AS single_bid_rate,
+       CAST(fresh AS BIGINT) AS cpv_diversity
+FROM focal JOIN past USING (supplier_id, award_date) WHERE n >= 3"""
+
 #: a focal contract of k rows counts each earlier row k times, and its price sample is k-fold
 Q11_SQL = "WITH " + history_sql("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING") + """
 SELECT supplier_id, contract_id AS focal_contract, award_date AS focal_award_date, CAST(k * n AS BIGINT) AS prior_contracts,

@@ -18,6 +18,7 @@ from ..operators.graph import build as gb
 from .catalogue import BUYER_MASTER_SQL, PRICE_SQL, C
 from .features import VALID, governance_sql
 from .graph import EDGES_SQL, edges
+from .history import Q11_SQL
 from .integration import STANDIN_SQL, buyers, communities, rule_anomalies, rule_predictions, unified_rules
 from .registry import register
 
@@ -211,7 +212,7 @@ def b7_stratified_fallback(spark, sf_dir):
 
 
 @register("f4_governance_published", r6=("buyer_dependency_ratio", "buyer_concentration_hhi", "single_bid_rate", "contract_value_log"),
-          sql="WITH " + governance_sql("contract_id:focal_contract") + f""",
+          sql="WITH " + governance_sql("contract_id:focal_contract", Q11_SQL) + f""",
 running AS (
     SELECT buyer_id, award_year, SUM(contract_value) OVER (PARTITION BY buyer_id, supplier_id ORDER BY {{0}} ROWS UNBOUNDED PRECEDING)
            / SUM(contract_value) OVER (PARTITION BY buyer_id ORDER BY {{0}} ROWS UNBOUNDED PRECEDING) AS share FROM valid),

@@ -202,9 +202,27 @@ CONTRACT_SOURCES = ("lineitem", "orders", "customer", "supplier", "part", "natio
 _WRITTEN: dict[tuple[str, int, int], str] = {}
 
 
+#: listings taken by this process: (application, folder) -> signature
+_LISTED: dict[tuple[str, str], tuple[int, int]] = {}
+
+
+def refresh_sources(spark: SparkSession) -> None:
+    """Forget this session's listings: the next query lists the input files anew and sees what has changed."""
+    for key in [k for k in _LISTED if k[0] == spark.sparkContext.applicationId]:
+        del _LISTED[key]
+
+
 def source_signature(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """(files, hash of their paths, lengths and modification times) of the input
-    tables: one part file rewritten in a folder changes it."""
+    tables: one part file rewritten in a folder changes it. Files are listed once a
+    session, and again after ``refresh_sources``."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _LISTED:
+        _LISTED[key] = _listing(spark, sf_dir)
+    return _LISTED[key]
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                .load([f"{sf_dir.rstrip('/')}/{t}.parquet" for t in CONTRACT_SOURCES]).select("path", "length", "modificationTime"))
     # a crc file or a marker is part of the listing too; only names and stamps are read
@@ -218,7 +236,8 @@ def canonical_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     award_year under the shared checkpoint folder and every later query of the
     session scans that table, with year pruning and column pruning, instead of
     repeating the joins (D4/A5). Each session writes a folder of its own, so no
-    two writers meet, and it is made anew when the inputs' listing changes.
+    two writers meet, and it is made anew when the inputs' listing has changed
+    (``source_signature``).
     """
     from ..session import ensure_checkpoint_dir
     key = (spark.sparkContext.applicationId, *source_signature(spark, sf_dir))

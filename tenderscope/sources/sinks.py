@@ -47,14 +47,30 @@ def merge_metrics(old: DataFrame, new: DataFrame, key: str = "metric", version:
 
 def cached_table(spark: SparkSession, path: str, compute) -> DataFrame:
     """Read-through artefact cache: read ``path`` if present, else compute,
-    write and read back (the written table also cuts lineage)."""
+    publish and read back (the written table also cuts lineage). Of several
+    writers the first one's table stays, and readers see whole tables only."""
     found = read_if_present(spark, path)
     if found is None:
-        write_parquet(compute(), path)
+        publish_once(spark, compute(), path)
         found = spark.read.parquet(path)
     return found
 
 
+def publish_once(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write ``df`` beside ``path`` and switch it into place by one rename, unless ``path`` is there by then."""
+    import uuid
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    write_parquet(df, aside)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    # a rename onto a folder that came in between would move the table into it: look where it went
+    if fs.exists(jvm_path(path)) or not fs.rename(jvm_path(aside), jvm_path(path)):
+        fs.delete(jvm_path(aside), True)
+    inside = jvm_path(f"{path.rstrip('/')}/{aside.rsplit('/', 1)[1]}")
+    if fs.exists(inside):
+        fs.delete(inside, True)
+
+
 def result_manifest(spark: SparkSession, results: dict[str, DataFrame], key_stats: dict[str, str] | None = None) -> DataFrame:
     """(name, rows, key statistic) for a set of intermediate results."""
     rows = []

@@ -124,6 +124,7 @@ def test_registered_null_model_has_the_published_replicates(monkeypatch):
     from tenderscope.plans import graph
     asked = {}
     monkeypatch.setattr(graph, "edges", lambda *a: None)
+    monkeypatch.setattr(graph, "_stored", lambda spark, sf_dir, name, build: build())
     monkeypatch.setattr(graph.gco, "null_model_test", lambda e, **k: asked.update(k))
     graph.r15_null_model(None, None)
     assert asked["rewires"] == 100 and asked["alpha"] == 0.01

@@ -27,6 +27,24 @@ def test_long_path_is_one_component(spark):
     assert len(comps) == n + 1 and {r["component_id"] for r in comps} == {"B_000"}
 
 
+def test_rounds_grow_with_the_logarithm_of_a_path(spark):
+    n = 100_000
+    # numbers along the path are dealt at random: neighbours are far apart
+    path = spark.range(n).select((F.col("id") * 48271 % (n + 1)).alias("a"), ((F.col("id") + 1) * 48271 % (n + 1)).alias("b"))
+    store = gi.Rounds(spark, "path")
+    stars = gi.star_components(path, store)
+    assert stars.agg(F.count(F.lit(1)), F.max("root"), F.countDistinct("v")).first() == (n, 0, n)
+    assert store._written <= 2 * n.bit_length()
+    store.close()
+
+
+def test_components_of_many_graphs(spark):
+    rows = [("x", "B_1", "S_1"), ("x", "B_2", "S_1"), ("y", "B_1", "S_1"), ("y", "B_2", "S_2"), ("y", "B_3", "S_2")]
+    got = {(r["k"], r["node_id"]): r["component_id"] for r in gi.connected_components(spark.createDataFrame(rows, "k string, src string, dst string"), ("k",)).collect()}
+    assert got == {("x", "B_1"): "B_1", ("x", "B_2"): "B_1", ("x", "S_1"): "B_1", ("y", "B_1"): "B_1", ("y", "S_1"): "B_1",
+                   ("y", "B_2"): "B_2", ("y", "B_3"): "B_2", ("y", "S_2"): "B_2"}
+
+
 def test_components_against_union_find(spark):
     rows = random_edges(random.Random(3), 60, 50, 50)
     parent = {}

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tenderscope.operators.ml import detectors as det
 
@@ -19,6 +20,65 @@ def test_knn_exact(spark):
         assert np.allclose(np.sort(got[got.qid == i].dist.to_numpy()), np.sort(d[i])[:4])
 
 
+def equal_rows(seed=4):
+    """Half of all rows are one of three points."""
+    rng = np.random.default_rng(seed)
+    spots = np.array([[0.0, 0.0], [1.0, 2.0], [3.0, 0.5]])
+    return np.vstack([spots[rng.integers(0, 3, 120)], rng.normal(1, 1.5, size=(120, 2))])
+
+
+def brute_lof(ref, query, k):
+    """Novelty LOF with k neighbours counted one by one; a reference row is not its own neighbour."""
+    def nearest(x, leave):
+        d = np.sqrt(((ref - x) ** 2).sum(1))
+        if leave is not None:
+            d[leave] = np.inf
+        return np.sort(d)[:k], np.argsort(d, kind="stable")[:k]
+    near = [nearest(x, i) for i, x in enumerate(ref)]
+    kd = np.array([d[-1] for d, _ in near])
+    lrd = np.array([1 / (np.maximum(d, kd[i]).mean() + 1e-10) for d, i in near])
+    out = []
+    for x in query:
+        d, i = nearest(x, None)
+        out.append(lrd[i].mean() * (np.maximum(d, kd[i]).mean() + 1e-10))
+    return np.array(out)
+
+
+def test_lof_with_half_of_the_rows_equal(spark, monkeypatch):
+    x = equal_rows()
+    ref = spark.createDataFrame(pd.DataFrame(np.c_[np.arange(len(x)), x], columns=["rid", "a", "b"]).astype({"rid": int}))
+    query = np.vstack([x[:40], [[9.0, 9.0], [0.0, 0.0], [2.0, 1.0]]])
+    q = spark.createDataFrame(pd.DataFrame(np.c_[np.arange(len(query)), query], columns=["qid", "a", "b"]).astype({"qid": int}))
+    pairs, search = [], det.weighted_knn
+    monkeypatch.setattr(det, "weighted_knn", lambda *a, **k: pairs.append((a[0].count(), a[1].count())) or search(*a, **k))
+    got = det.lof_scores(q, ref, ["a", "b"], 10).toPandas().sort_values("qid")["lof_score"].to_numpy()
+    want = brute_lof(x, query, 10)
+    # where a k-distance is 0 densities are 1e10: both are huge then
+    assert len(got) == len(query) and np.allclose(got, want, rtol=1e-6)
+    assert pairs[0] == (123, 123)  # distinct points only
+
+
+def test_covariance_is_not_masked(spark):
+    """30 % of shifted rows: their distances stay far beyond those of all others; equal runs give equal results."""
+    rng = np.random.default_rng(9)
+    good, bad = rng.normal(size=(700, 3)), rng.normal(6, 0.3, size=(300, 3))
+    x = np.vstack([good, bad])
+    df = spark.createDataFrame(pd.DataFrame(np.c_[x, np.r_[np.zeros(700), np.ones(300)]], columns=["a", "b", "c", "bad"])).repartition(4)
+    m = det.fit_robust_covariance(df, ["a", "b", "c"])
+    assert np.abs(m["mean"]).max() < 0.3
+    s = det.score_robust_covariance(df, m).toPandas()
+    assert s[s.bad == 1]["ee_score"].min() > s[s.bad == 0]["ee_score"].quantile(0.99)
+    again = det.fit_robust_covariance(df.repartition(7), ["a", "b", "c"])
+    assert np.allclose(m["mean"], again["mean"]) and np.allclose(m["inv"], again["inv"])
+
+
+def test_isolation_samples_are_bounded(spark):
+    df = spark.range(60_000).select(F.rand(1).alias("a"), F.rand(2).alias("b"))
+    m = det.fit_isolation_forest(df, ["a", "b"], trees=20, sample_size=64)
+    assert m["psi"] == 64 and len(m["forest"]) == 20
+    assert all(t[t[:, 0] < 0][:, 4].sum() == 64 for t in m["forest"])  # leaf sizes of each tree
+
+
 def test_isolation_forest_ranks_outlier(spark):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(size=(300, 2)), [[8.0, 8.0]]])

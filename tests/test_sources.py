@@ -26,6 +26,8 @@ def test_rewritten_part_file_is_seen(spark, tmp_path):
     if os.path.exists(crc):
         os.remove(crc)
     os.utime(os.path.dirname(part), (folder, folder))
+    assert contracts.canonical_contracts(spark, str(tmp_path)).count() == before  # listed once a session
+    contracts.refresh_sources(spark)
     after = contracts.canonical_contracts(spark, str(tmp_path)).count()
     assert after < before
 
@@ -38,6 +40,10 @@ def test_cached_table_and_views(spark, tmp_path):
     for _ in range(2):
         assert sinks.cached_table(spark, f"{tmp_path}/cache", compute).count() == 5
     assert len(calls) == 1
+    # a writer that comes second reads what the first one published, and leaves nothing beside it
+    sinks.publish_once(spark, spark.range(9), f"{tmp_path}/cache")
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == 5
+    assert sorted(p for p in os.listdir(tmp_path) if p.startswith("cache")) == ["cache"]
     tables.register_views(spark, str(tmp_path), ("missing",))
     assert tables.read_if_present(spark, f"{tmp_path}/none") is None
     (tmp_path / "q.sql").write_text("SELECT 1 AS one,\n 2 AS two")
