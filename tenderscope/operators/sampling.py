@@ -98,6 +98,12 @@ def temporal_or_stratified(df: DataFrame, label: str, train: tuple[int, int], te
     return stratified_split(df, label, test_share, seed, key_cols)
 
 
+def plain_folds(df: DataFrame, k: int, seed: int, key_cols: list[str]) -> DataFrame:
+    """Fold 0..k-1 from a seeded hash of the row key: no order, no move of rows."""
+    head = F.conv(F.substring(seeded_key(seed, *key_cols), 1, 8), 16, 10).cast("long")
+    return df.withColumn("fold", F.pmod(head, F.lit(k)).cast("int"))
+
+
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
     """Fold 0..k-1 assigned round-robin within each class in md5 order."""
     keys = key_cols or [c for c in df.columns if c != label][:3]

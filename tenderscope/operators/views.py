@@ -129,6 +129,19 @@ def value_risk_deciles(predictions: DataFrame, value_col: str = "contract_value"
                                    F.min("_lv").alias("log_value_min"), F.max("_lv").alias("log_value_max"))
 
 
+def decile_summary(deciles: DataFrame) -> DataFrame:
+    """Mean of the deciles' means, the worst decile (ties: the smaller one) and its mean; means to 9 places."""
+    m = F.round("mean_risk", 9)
+    worst = F.max_by(F.col("decile"), F.struct(m, -F.col("decile")))
+    return deciles.agg(F.avg(m).alias("cross_decile_mean"), worst.alias("worst_decile"), F.max(m).alias("worst_mean_risk"))
+
+
+def with_peak(per_year: DataFrame, year: str, count: str) -> DataFrame:
+    """The yearly table with a flag on its peak year (ties: the earlier one)."""
+    peak = per_year.agg(F.max_by(F.col(year), F.struct(F.col(count), -F.col(year))).alias("_peak"))
+    return with_scalar(per_year, peak).withColumn("is_peak", F.col(year) == F.col("_peak")).drop("_peak")
+
+
 def inter_community_matrix(edges: DataFrame, partition: DataFrame, top: int = 25) -> DataFrame:
     """Contracts between the top communities, symmetric pair key, log1p and max-normalised."""
     p = partition.select("node_id", "community_id")

@@ -40,7 +40,7 @@ MEAN_SHIFT = 0.000314159
 
 REGISTRY: dict[str, QuerySpec] = {}
 
-QUERY_MODULES = ("catalogue", "history", "features", "graph", "stats", "ml", "integration", "audits", "views", "profiles")
+QUERY_MODULES = ("catalogue", "history", "features", "graph", "stats", "ml", "integration", "audits", "views", "profiles", "viewer")
 
 
 def register(name: str, sql: str | None = None, r6=(), r4=(), mean=(), headline: bool = False):

@@ -30,6 +30,7 @@ def curated_tables(spark: SparkSession, contracts: DataFrame, year_min: int = 20
         "rq2_features": gov.governance_features(contracts),
         "rq3_features": pr.price_proxy(contracts),
         "rq1_buyer_metrics": ig.buyer_metrics(nf),
+        "rq1_node_metrics": gb.node_metrics(edges),
         "rq1_network_metrics": gb.sql_centrality(edges),
         "rq1_communities": gb.region_partition(contracts).join(gb.node_metrics(edges).select("node_id", "entity_id", "node_type"),
                                                                 "node_id"),
