@@ -22,11 +22,16 @@ roots drops every pair of nodes for which that is too little. Large cells are
 cut into blocks, and each pair of blocks is traversed by itself.
 
 *Exactness.* Surviving pairs are verified on the full sets. A group of near
-copies would survive with all its pairs, so a few rounds over the first routing
-elements pair documents only with leaders of their cell, other ones each time;
-what they verify gives provisional components. The last round, over all routing
+copies would survive with all its pairs, so a few rounds pair documents only
+with leaders of their cell, other ones each time, over a few routing elements
+of each document: those that other documents share, in the common order (an
+element of one document alone leads to nobody). What they verify gives
+provisional components. The last round, over all routing
 elements, drops pairs that already are in one component and verifies all others.
-So each linked pair is in one component or verified itself.
+So each linked pair is in one component or verified itself. A pair that meets in
+many cells comes out of the first one in the common order, which the documents'
+first shared elements tell; pairs without a common one among these may come out
+several times, and are told apart after.
 
 Defined results: null or empty texts have an empty set, no links and their own
 id as component; texts with fewer words than n have one element, the whole
@@ -41,22 +46,24 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph.iterative import connected_components
 from .byteops import cut_at_blanks, groups_by_size, mix, segment_hashes
-from .common import batches_of, shuffle_width, written
+from .common import batches_of, discard, scratch, shuffle_width, written
 
 BUCKET_BITS = 18
 BITS = 2048
 #: sets from this size on also have counts of their elements in so many buckets; ANY stands for any count
-COUNTED, COUNTS, ANY = 1200, 512, 255
+COUNTED, COUNTS, ANY = 400, 512, 255
 BUFFER = 1 << 20
 #: documents of a cell that one task compares with one another or with another block
 BLOCK = 2048
 FANOUT = 8
+#: shared routing elements by which a cell sees that two documents have met in an earlier one
+FIRSTS = 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -217,11 +224,24 @@ def leader_pairs(sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, com
             yield np.full(len(near), k), near
 
 
+def met_before(firsts: np.ndarray, known: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether documents i and j share one of their first elements before this cell (``known`` of each)."""
+    at = np.arange(firsts.shape[1])
+    out = np.zeros(len(i), bool)
+    for s in range(0, len(i), 2048):
+        a, b = i[s:s + 2048], j[s:s + 2048]
+        same = firsts[a][:, :, None] == firsts[b][:, None, :]
+        same &= (at < known[a][:, None])[:, :, None] & (at < known[b][:, None])[:, None, :]
+        out[s:s + 2048] = same.any((1, 2))
+    return out
+
+
 def cell_pairs(keys: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, components: np.ndarray,
-               side: np.ndarray, percent: int, leaders: int):
+               side: np.ndarray, percent: int, leaders: int, firsts: np.ndarray, known: np.ndarray):
     """Surviving pairs of keys in one cell or pair of blocks."""
     order = np.argsort(sizes, kind="stable")
-    keys, sizes, bitmaps, counts, components, side = (x[order] for x in (keys, sizes, bitmaps, counts, components, side))
+    keys, sizes, bitmaps, counts, components, side, firsts, known = (
+        x[order] for x in (keys, sizes, bitmaps, counts, components, side, firsts, known))
     if leaders:
         for i, j in leader_pairs(sizes, bitmaps, counts, components, np.argsort(mix(keys.view(np.uint64) + np.uint64(leaders)), kind="stable"), percent):
             yield keys[i], keys[j]
@@ -229,7 +249,9 @@ def cell_pairs(keys: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, counts:
     parts = [np.flatnonzero(side == s) for s in np.unique(side)]
     trees = [Tree(sizes[p], bitmaps[p], counts[p], components[p]) for p in parts]
     for i, j in traverse(trees[0], trees[-1], percent):
-        yield keys[parts[0][i]], keys[parts[-1][j]]
+        i, j = parts[0][i], parts[-1][j]
+        new = ~met_before(firsts, known, i, j)
+        yield keys[i[new]], keys[j[new]]
 
 
 # ---------------------------------------------------------------- jobs
@@ -280,21 +302,22 @@ def _signatures(rows: DataFrame, late: np.ndarray, n: int, percent: int) -> Data
 
 
 def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: int) -> DataFrame:
-    """(a, b): keys of pairs that survive the trees of the cells (cell, key, comp).
+    """(a, b): keys of pairs that survive the trees of the cells (cell, key, place, comp).
 
     ``leaders`` 0: all pairs of two components; else only pairs with leaders, in an order of that number."""
     import pyarrow as pa
 
     counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"),
                                        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
-                                       F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    # cells with one component have nothing to find; of cells with the same members one is enough
-    counts = counts.where("c0 <> c1").groupBy("m", "x", "y").agg(F.min("cell").alias("cell"))
+                                       F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("place", "key").alias("at"))
+    # cells with one component have nothing to find; of cells with the same members the first in the common order is enough
+    counts = counts.where("c0 <> c1").groupBy("m", "x", "y").agg(F.min(F.struct("at", "cell")).alias("c")) \
+                   .select(F.col("c.cell").alias("cell"), "m")
     rows = cells.join(counts.select("cell", F.ceil(F.col("m") / BLOCK).alias("blocks")), "cell")
     rows = rows.join(signatures, "key").withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "key",
-                       "size", "comp", "signature")
+                       "size", "comp", "signature", "place", "firsts")
     width = shuffle_width(cells.sparkSession)
     rows = rows.repartition(width, "cell", "p", "q").sortWithinPartitions("cell", "p", "q")
 
@@ -303,7 +326,7 @@ def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: i
 
         def pairs():
             group = [np.concatenate(x) for x in zip(*held)]
-            found = list(cell_pairs(group[4], group[5], group[7], group[8], group[6], group[3], percent, leaders))
+            found = list(cell_pairs(group[4], group[5], group[7], group[8], group[6], group[3], percent, leaders, *group[9:]))
             for a in range(0, len(found), 256):
                 i, j = (np.concatenate(x) for x in zip(*found[a:a + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["a", "b"])
@@ -311,6 +334,11 @@ def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: i
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "p", "q", "own", "key", "size", "comp")]
             columns += unpacked(batch.column("signature").to_pylist())
+            lists = batch.column("firsts")
+            length = np.minimum(lists.value_lengths().to_numpy(zero_copy_only=False), FIRSTS)
+            firsts = np.zeros((batch.num_rows, FIRSTS), np.int64)
+            firsts[np.arange(FIRSTS) < length[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+            columns += [firsts, np.minimum(length, batch.column("place").to_numpy(zero_copy_only=False))]
             place = np.stack(columns[:3])
             cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -323,16 +351,16 @@ def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: i
             yield from pairs()
 
     found = rows.mapInArrow(run, "a long, b long")
-    return found.distinct()
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(key, elements) of all keys in ``pairs``: n-gram sets made anew from the texts of ``nodes`` (key, id)."""
     import pyarrow as pa
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = written(nodes.join(used, "key", "left_semi").select("key", F.col("id").alias("_id")))
-    if wanted.count() <= broadcast_rows:  # 16 bytes each; beyond, a shuffled join
+    if 64 * wanted.count() <= broadcast_bytes:  # a key, an id and what a hash table adds; beyond, a shuffled join
         wanted = F.broadcast(wanted)
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("key", "text")
 
@@ -385,43 +413,70 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     first_elements: int = 3, leader_rounds: int = 4) -> DataFrame:
     """(id, n_shingles, component_id) of every row; documents link when
     100 * intersection >= percent * union of their n-gram sets."""
-    batches_of(df.sparkSession, 500)
+    spark = df.sparkSession
+    batches_of(spark, 500)
+    folder = scratch(spark, "sigtree")
+
+    def put(some: DataFrame, name: str) -> DataFrame:
+        some.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     late = _late(_bucket_counts(rows, n))
-    docs = written(_signatures(rows, late, n, percent))
+    docs = put(_signatures(rows, late, n, percent), "documents")
     filled = docs.where("size > 0")
 
     route = filled.select("key", F.col("size").cast("int").alias("size"), F.posexplode("route").alias("place", "cell"))
-    shared = route.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
-    cells = written(route.join(shared, "cell").groupBy("cell", "key", "size").agg(F.min("place").alias("place")))
+    # elements of several documents: one move of the routing elements, in which a cell of any size spills
+    whole = Window.partitionBy("cell")
+    shared = route.withColumn("lo", F.min("key").over(whole)).withColumn("hi", F.max("key").over(whole)).where("lo <> hi")
+    cells = shared.groupBy("cell", "key", "size").agg(F.min("place").alias("place"))
+    # a document's place among its shared elements; a window holds one document's
+    order = Window.partitionBy("key").orderBy("place", "cell")
+    cells = put(cells.withColumn("place", F.row_number().over(order) - 1), "cells")
     members = cells.select("key").distinct()
     # linked sets differ by less than one of these bands in size, so they meet in the larger one's
     band = F.floor(F.log(F.col("size").cast("double")) / (1.0001 * math.log(100 / percent))) if percent < 100 else F.col("size")
-    cells = cells.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("cell", F.xxhash64("cell", "band"))
-    nodes = written(filled.join(members, "key", "left_semi").groupBy("key")
-                    .agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("signature").alias("signature")))
-    signatures = nodes.select("key", "size", "signature")
-
-    def verified(found: DataFrame) -> DataFrame:
-        found = written(found)
-        return written(_verified(found, written(_sets(rows, nodes, found, n)), percent))
+    cells = cells.withColumn("element", F.col("cell")).withColumn("band", F.explode(F.array(band, band + 1))) \
+                 .withColumn("cell", F.xxhash64("cell", "band"))
+    nodes = put(filled.join(members, "key", "left_semi").groupBy("key")
+                    .agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("signature").alias("signature")), "nodes")
+    # the first shared elements of every document, in the common order
+    firsts = (cells.where((F.col("place") < FIRSTS)).select("key", "place", "element").distinct().groupBy("key")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "element"))), lambda x: x["element"]).alias("firsts")))
+    signatures = put(nodes.select("key", "size", "signature").join(firsts, "key"), "signatures")
+
+    def verified(found: DataFrame, name: str) -> DataFrame:
+        """The linked pairs; pairs and sets of the round go once they are verified."""
+        found = put(found, f"pairs-{name}")
+        sets = put(_sets(rows, nodes, found, n), f"sets-{name}")
+        links = put(_verified(found, sets, percent), f"links-{name}")
+        discard(spark, f"{folder}/pairs-{name}")
+        discard(spark, f"{folder}/sets-{name}")
+        return links
 
     def placed(some: DataFrame, known: DataFrame | None) -> DataFrame:
         if known is None:
-            return some.select("cell", "key", F.col("key").alias("comp"))
-        return some.select("cell", "key").join(known, "key", "left").select("cell", "key", F.coalesce("comp", "key").alias("comp"))
+            return some.select("cell", "key", "place", F.col("key").alias("comp"))
+        return some.select("cell", "key", "place").join(known, "key", "left") \
+                   .select("cell", "key", "place", F.coalesce("comp", "key").alias("comp"))
 
-    links, known = None, None
+    links, known, r = None, None, 0
     for r in range(leader_rounds):
         early = cells.where(F.col("place").between(r * first_elements, (r + 1) * first_elements - 1))
-        new = verified(_survivors(placed(early, known), signatures, percent, r + 1))
-        if links is not None and new.isEmpty():
+        if links is not None and early.isEmpty():
             break
+        new = verified(_survivors(placed(early, known), signatures, percent, r + 1), str(r))
         links = new if links is None else links.unionByName(new)
-        known = _components(links)
-    rest = verified(_survivors(placed(cells, known), signatures, percent, 0))
+        known = put(_components(links), f"components-{r}")
+        if r:
+            discard(spark, f"{folder}/components-{r - 1}")
+    rest = verified(_survivors(placed(cells, known), signatures, percent, 0), "rest")
     if not rest.isEmpty():
-        known = _components(links.unionByName(rest))
+        known = put(_components(links.unionByName(rest)), "components-rest")
+    discard(spark, f"{folder}/cells")
+    discard(spark, f"{folder}/nodes")
+    discard(spark, f"{folder}/signatures")
 
     names = docs.groupBy("key").agg(F.min("id").alias("id")).join(known, "key", "left") \
                 .withColumn("comp", F.coalesce("comp", "key"))
@@ -433,6 +488,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _components(links: DataFrame) -> DataFrame:
-    """(key, comp) of all linked keys, written."""
+    """(key, comp) of all linked keys."""
     found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return written(found.select(F.col("node_id").alias("key"), F.col("component_id").alias("comp")))
+    return found.select(F.col("node_id").alias("key"), F.col("component_id").alias("comp"))

@@ -104,13 +104,15 @@ def test_traversal_loses_no_pair():
 def test_pipeline_stages(spark, edge_rows, tmp_path):
     import corpus_pipeline as cp
     rng = random.Random(9)
-    from .conftest import words
+    from pyspark.sql import functions as F
+    from .conftest import CLASH, words
     good = [(100 + k, words(rng, 120, 3000), "en", rng.choice("abc"), 1) for k in range(60)]
     copies = [(300 + k, good[0][1] + f" tail{k}", "en", "a", 1) for k in range(5)] + [good[1], good[1]]
     keyed = [(400, words(rng, 80, 3000) + f' token = "{rng.getrandbits(160):040x}" end', "en", "b", 1)]
     junk = [(500 + k, "### $$$ " * 60 + words(rng, 10), "en", "c", 1) for k in range(40)]
-    rows = good + copies + keyed + junk + [r for r in edge_rows if r[0] != 5]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = good + copies + keyed + junk + edge_rows  # a very long text among them
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long") \
+         .withColumns({c: F.lit("other") for c in CLASH}).write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(r[0], 1) for r in good] + [(r[0], 0) for r in junk]
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -143,6 +145,13 @@ def test_pipeline_stages(spark, edge_rows, tmp_path):
     assert set(whole) == {r["doc_id"] for r in seen["mix"]}
 
 
+def test_pipeline_of_an_empty_table(spark, nothing, tmp_path):
+    import corpus_pipeline as cp
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("component", [-7, -1, 7])
 def test_traversal_drops_pairs_of_one_component(component):
     """Component ids are signed: a negative one is a component like any other."""
@@ -153,3 +162,26 @@ def test_traversal_drops_pairs_of_one_component(component):
     tree = sigtree.Tree(np.full(100, 40), bitmaps, counts, components)
     pairs = {(int(a), int(b)) for i, j in sigtree.traverse(tree, tree, 80) for a, b in zip(i, j)}
     assert pairs == {(min(k, 50), max(k, 50)) for k in range(100) if k != 50}
+
+
+def family(rng, copies, words, changed):
+    """Copies of one text in which each has some words of its own."""
+    base = [f"v{rng.randrange(10 ** 6)}" for _ in range(words)]
+    rows = []
+    for k in range(copies):
+        text = list(base)
+        for at in rng.sample(range(words), changed):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("changed, most, groups", [(6, 1000, 1), (22, 20 * 300, 300)])
+def test_large_families_are_not_paired_out(spark, monkeypatch, changed, most, groups):
+    """300 linked copies meet through leaders; 300 copies just below the threshold fall to the counted signatures."""
+    df = spark.createDataFrame(family(random.Random(7), 300, 1000, changed), "doc_id long, text string").repartition(3)
+    pairs, verify = [], sigtree._verified
+    monkeypatch.setattr(sigtree, "_verified", lambda found, *a, **k: pairs.append(found.count()) or verify(found, *a, **k))
+    got = sigtree.near_duplicates(df, n=3, percent=90).collect()
+    assert len({r["component_id"] for r in got}) == groups
+    assert sum(pairs) < most, pairs
