@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: the ASCII white space that separates words
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "SPACE", "table", "scratch", "written", "discard", "let", "batches_of", "shuffle_width", "exclusive_offsets"]
+__all__ = ["WORD", "SPACE", "table", "scratch", "written", "discard", "settle", "let", "batches_of", "shuffle_width", "exclusive_offsets"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,15 @@ def discard(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is not below {root}")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    settle(spark)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs: it waits for the driver to
+    collect their plans, which a driver with little to do would put off for half an hour."""
+    import gc
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def let(value: Column, body) -> Column:
@@ -49,11 +59,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def batches_of(spark: SparkSession, rows: int) -> None:
-    """Hand Python at most ``rows`` rows at a time: texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def batches_of(spark: SparkSession, rows: int, size: int = 32 << 20) -> None:
+    """Hand Python at most ``rows`` rows and some ``size`` bytes at a time: texts can be long.
+
+    Spark reads both limits when a lazy result is computed, long after this call,
+    so they are lowered for the session and never raised."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(key).strip().lower())
+        held = int(now[1]) << 10 * " kmgt".index(now[2] or " ") if now else 0
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -108,9 +108,16 @@ def mixture_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .drop("_h", "_cell", "_s", "_c", "_before", "_run", "_u0", "_u1", "_copies"))
 
 
-def curriculum(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per taken copy (its words in ``taken``), range-sorted by ``position``."""
-    copies = (plan.withColumn("_x", F.explode(F.arrays_zip("copies", "positions"))).drop("taken", "copies", "positions")
-              .withColumn("taken", F.col("_x.copies")).withColumn("position", F.col("_x.positions")).drop("_x"))
+def curriculum(plan: DataFrame, id_col: str = "doc_id", rest: bool = False) -> DataFrame:
+    """One row per taken copy, range-sorted by ``position``: the copy's number from 0 in ``copy``, its words in
+    ``taken``. With ``rest`` documents that are not taken follow at the end, with null copy and position."""
+    take = F.posexplode_outer if rest else F.posexplode
+    copies = (plan.select("*", take(F.arrays_zip("copies", "positions")).alias("copy", "_x")).drop("taken")
+              .withColumn("taken", F.coalesce(F.col("_x.copies"), F.lit(0)).cast("long"))
+              .withColumn("position", F.col("_x.positions")).drop("_x"))
+    if rest:
+        return copies.repartitionByRange(shuffle_width(plan.sparkSession), F.col("position").asc_nulls_last(), id_col) \
+                     .sortWithinPartitions(F.col("position").asc_nulls_last(), id_col)
+    copies = copies.drop("copies", "positions")
     return copies.repartitionByRange(shuffle_width(plan.sparkSession), "position", id_col) \
                  .sortWithinPartitions("position", id_col)

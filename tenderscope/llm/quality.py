@@ -7,7 +7,9 @@ array indexing; texts never leave the JVM.
 
 Defined results: a null text counts as empty; a statistic with an empty
 denominator is 0, so empty texts get the score of all-zero statistics; labels
-that are null are not learnt from; without labelled rows every score is 0.5;
+that are null are not learnt from, nor labels of the null id; an id that occurs
+several times in the labels or the documents is learnt from once for each pair
+of its rows; without labelled rows every score is 0.5;
 repeated rows get equal scores; an empty table gives no rows; columns of the
 input are kept, unless one is named like the score, which is replaced.
 """
@@ -48,7 +50,7 @@ def document_statistics(text: Column) -> dict[str, Column]:
         "shouts": share(chars("!?"), words),
         "bars": share(chars("|"), words),
         "beyond_ascii": share(F.octet_length(text) - n, n),
-        "distinct_words": let(F.split(text, SPACE), lambda w: share(F.size(F.array_distinct(w)), F.size(w))),
+        "distinct_words": let(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: share(F.size(F.array_distinct(w)), F.size(w))),
         "distinct_lines": let(lines, lambda x: share(F.size(F.array_distinct(x)), F.size(x))),
         "words_per_line": share(words, chars("\n") + 1),
     }

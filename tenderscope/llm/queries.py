@@ -14,7 +14,7 @@ from .common import scratch, table, written
 from .maintext import extract_main_text
 from .merkle import fold as fold_path
 from .merkle import leaf_hash, merkle_manifest, path_hash
-from .mixing import mixture_plan
+from .mixing import curriculum, mixture_plan
 from .nsbounds import cluster_vectors, with_inertia
 from .packing import pack
 from .quality import fit as fit_quality
@@ -60,11 +60,14 @@ def op3_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document that the mixture takes, with the training time of its first copy."""
+    """Words of each document that the mixture takes, with the training times of its copies: the first copies (and the
+    documents that are not taken) of the range-sorted curriculum."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixture_plan(docs).select(
-        "doc_id", "size", "source_size", "target", "taken",
-        F.round(F.get("positions", F.lit(0)), 6).alias("position"))
+    copies = curriculum(mixture_plan(docs), rest=True).where("copy IS NULL OR copy = 0")
+    return copies.select(
+        "doc_id", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"),
+        "position", F.get("positions", F.lit(1)).alias("second_position")) \
+        .withColumn("position", F.round("position", 6)).withColumn("second_position", F.round("second_position", 6))
 
 
 OP4_SQL = r"""
@@ -94,7 +97,9 @@ k AS (
          greatest(0, least(size, floor(target)::BIGINT - q::BIGINT - source_size)) AS t1 FROM c)
 SELECT doc_id, size, source_size, target, (t0 + t1)::BIGINT AS taken,
        round(CASE WHEN t0 = 0 THEN NULL WHEN u0 = u1 THEN q / target
-                  ELSE (sqrt(u0 * u0 + 2 * (u1 - u0) * (q / target)) - u0) / (u1 - u0) END, 6) AS position
+                  ELSE (sqrt(u0 * u0 + 2 * (u1 - u0) * (q / target)) - u0) / (u1 - u0) END, 6) AS position,
+       round(CASE WHEN t1 = 0 THEN NULL WHEN u0 = u1 THEN (q + source_size) / target
+                  ELSE (sqrt(u0 * u0 + 2 * (u1 - u0) * ((q + source_size) / target)) - u0) / (u1 - u0) END, 6) AS second_position
 FROM k
 """
 

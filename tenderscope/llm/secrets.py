@@ -15,7 +15,8 @@ not) and leaves the others to the forest. Both labels come with the surroundings
 blanked out as well, so that a key without its name is still recognised.
 
 Defined results: a null or empty text has no candidates; null ids and paths are
-kept; repeated rows give repeated findings; an empty table gives no rows;
+kept; repeated rows give repeated findings; an empty table gives no rows; without
+labelled findings of both kinds the forest gives one score to all (0 without any);
 further columns are ignored by ``scan`` and kept by ``redact``; texts are read
 whole.
 """
@@ -175,6 +176,28 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return judge(found, fit(found, max_findings)).withColumnRenamed("id", id_col)
 
 
+def redact_found(df: DataFrame, judged: DataFrame, key: Column, text_col: str = "text", mark: str = "[SECRET]",
+                 broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` with the confirmed secrets of ``judged`` replaced by ``mark``, in the JVM: no text is scanned again.
+
+    ``key`` is the id under which ``judged`` names a row of ``df``: rows that share a
+    key must share their text."""
+    spans = written(judged.where("is_secret").groupBy(F.col("id").alias("_id"))
+                    .agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("_spans")))
+    n, total = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
+    if 100 * n + 32 * total <= broadcast_bytes:  # an id and 16 bytes a span, and what a hash table adds; beyond, a shuffled join
+        spans = F.broadcast(spans)
+    text = F.col(text_col)
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("s"))
+    done = F.aggregate("_spans", begin, lambda acc, x: F.struct(
+        (x["start"] + x["length"]).alias("at"),
+        F.concat(acc["s"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("s")))
+    rest = F.substring(text, (done["at"] + 1).cast("int"), F.length(text))
+    return (df.withColumn("_key", key).join(spans, F.col("_key").eqNullSafe(F.col("_id")), "left")
+            .withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(F.concat(done["s"], rest)))
+            .drop("_key", "_id", "_spans"))
+
+
 def redact(df: DataFrame, words: frozenset[str], model: Forest, text_col: str = "text", path_col: str | None = "source",
            mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """``df`` with each confirmed secret in the text replaced by ``mark``."""

@@ -20,8 +20,8 @@ counts of whole pre-tokens are remembered by hash.
 
 Defined results: a null or empty text has 0 tokens; a special token's string
 inside a text is that one token, as the library has it by default; repeated rows
-give repeated results; an empty table gives no rows; texts of any length are
-read whole (only one group of texts is in memory).
+give repeated results; null ids pass through; further columns do not matter; an
+empty table gives no rows; texts of any length are read whole (only one group of texts is in memory).
 """
 
 from __future__ import annotations

@@ -85,6 +85,84 @@ def test_secrets_are_found_and_words_left_alone(spark):
     assert clean[0].endswith('token = "[SECRET]" and more') and clean[4] == texts[4] and clean[None] is None and clean[999] == ""
 
 
+def test_forest_against_an_independent_truth(spark):
+    """The generator knows what it planted; half of the keys stand behind no credential name, decoys look like keys."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    def word():
+        return "".join(rng.choice(letters) for _ in range(rng.randrange(2, 8)))
+    vocabulary = [word() for _ in range(300)] + ["administration", "international", "configuration"]
+    def key():
+        return "".join(rng.choice(letters + letters.upper() + "0123456789") for _ in range(rng.randrange(24, 44)))
+    def decoy():
+        return rng.choice(["_".join(rng.sample(vocabulary, 5)), "".join(rng.sample(vocabulary, 5)), f"{rng.randrange(10 ** 15, 10 ** 18)}",
+                           "/".join(rng.sample(vocabulary, 6)), "=" * rng.randrange(16, 60)])
+    rows, truth = [], set()
+    for k in range(400):
+        parts = rng.choices(vocabulary, k=60)
+        for at, make, secret in ((10, decoy, False), (30, key, True), (50, decoy, False)):
+            if rng.random() < 0.6:
+                value = make()
+                named = secret and rng.random() < 0.5
+                parts[at] = f'api_key = "{value}"' if named else value
+                if secret:
+                    truth.add((k, value))
+        rows.append((k, " ".join(parts), "src/x.py"))
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("is_secret").collect()
+    found = {(r["doc_id"], r["value"]) for r in got}
+    right = len(found & truth)
+    assert right / len(truth) > 0.95 and right / len(found) > 0.95, (right, len(truth), len(found))
+
+
+def test_found_spans_are_cut_out(spark, edges, edge_rows):
+    """Redaction by places equals redaction by a second scan; rows keep their columns."""
+    rng = random.Random(2)
+    rows = [(k, f'ü {k} password: {rng.getrandbits(120):030x} x token = "{rng.getrandbits(160):040x}" é', "en", "a", 1) for k in range(30)]
+    rows += edge_rows + [rows[0], rows[0], (0, "another text of id 0", "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    import corpus_pipeline as cp
+    words = secrets.dictionary(df)
+    found = secrets.scan(df.withColumn("_name", cp.identity()), words, "_name")
+    model = secrets.fit(found)
+    for limit in (16 << 20, 0):
+        got = secrets.redact_found(df, secrets.judge(found, model), cp.identity(), broadcast_bytes=limit)
+        want = secrets.redact(df, words, model)
+        assert got.columns == df.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_statistics_of_texts_without_words(spark):
+    df = spark.createDataFrame([("",), (None,), (" \n\t",), (" a b a",), ("a b a",)], "text string")
+    got = [r[0] for r in df.select(quality._features("text")).collect()]
+    assert got[0] == got[1] == [0.0] * len(quality.FEATURES)
+    place = quality.FEATURES.index("distinct_words")
+    assert got[2][place] == 0.0 and got[3][place] == got[4][place] == pytest.approx(2 / 3)
+
+
+def plain_statistics(text):
+    import math
+    import re
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    def share(a, b):
+        return a / b if b else 0.0
+    def chars(of):
+        return sum(c in of for c in text)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return [math.log1p(len(words)), share(sum(map(len, words)), len(words)), share(chars("#*$%&|<>"), len(words)), share(chars(upper), len(text)),
+            share(chars("0123456789"), len(text)), share(chars(".,;:"), len(words)), share(chars("!?"), len(words)), share(chars("|"), len(words)),
+            share(len(text.encode()) - len(text), len(text)), share(len(set(words)), len(words)), share(len(set(lines)), len(lines)),
+            share(len(words), text.count("\n") + 1)]
+
+
+def test_statistics_against_plain_python(spark, edges, edge_rows):
+    got = edges.select("text", quality._features("text").alias("f")).collect()
+    assert len(got) == len(edge_rows)
+    for r in got:
+        assert r["f"] == pytest.approx(plain_statistics(r["text"]))
+
+
 def test_secrets_of_nothing(edges, nothing):
     assert secrets.find_secrets(nothing).count() == 0
     assert secrets.find_secrets(edges).count() >= 1  # one long run of a letter; no labels of either kind needed
