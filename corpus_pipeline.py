@@ -18,12 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderscope.llm import mixing, packing, quality, secrets, sigtree
-from tenderscope.llm.common import scratch, table
+from tenderscope.llm.common import scratch, settle, table, written
 from tenderscope.llm.queries import fold, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def identity():
+    """Name of a row: its id and its text's checksum, so that rows which share an id are told apart."""
+    return F.struct("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("m"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier gives at least even odds of label 1."""
     labels = table(spark, sf_dir, "labels").where(fold() != 1)
@@ -31,16 +36,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, out_col="_score").where("_score >= 0.5").select(*COLUMNS)
 
 
-def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 250_000) -> DataFrame:
-    """One row of each component of near duplicates; rows without words all stay.
-
-    A row is named by its id and its text's checksum, so that rows which share an
-    id are told apart."""
-    named = docs.select(*COLUMNS).withColumn("_id", F.struct("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("m")))
+def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """One row of each component of near duplicates; rows without words all stay."""
+    named = docs.select(*COLUMNS).withColumn("_id", identity())
     found = sigtree.near_duplicates(named, "_id", "text", n=5, percent=80).where("n_shingles > 0")
     per = found.groupBy("_id", "component_id").agg(F.count(F.lit(1)).alias("copies"))
     gone = per.where(F.col("_id") != F.col("component_id")).select("_id")
-    if gone.count() <= broadcast_rows:  # some 50 bytes each; beyond, a shuffled join
+    if 100 * gone.count() <= broadcast_bytes:  # an id, a checksum and what a hash table adds; beyond, a shuffled join
         gone = F.broadcast(gone)
     kept = named.join(gone, "_id", "left_anti")
     if not per.where((F.col("_id") == F.col("component_id")) & (F.col("copies") > 1)).isEmpty():
@@ -51,17 +53,27 @@ def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ro
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with confirmed secrets replaced; n_chars follows the text."""
-    words = secrets.dictionary(docs)
-    model = secrets.fit(secrets.scan(docs, words))
-    cleaned = secrets.redact(docs.select(*COLUMNS), words, model)
+    """Texts with confirmed secrets replaced; n_chars follows the text.
+
+    Texts are scanned once: the forest is fitted on the written findings, and the
+    confirmed ones are cut out by their places."""
+    named = docs.select(*COLUMNS).withColumn("_name", identity())
+    found = written(secrets.scan(named, secrets.dictionary(docs), "_name"))
+    judged = secrets.judge(found, secrets.fit(found))
+    cleaned = secrets.redact_found(docs.select(*COLUMNS), judged, identity())
     return cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
                               .otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every taken copy as a row, sorted by its training position."""
-    return mixing.curriculum(mixing.mixture_plan(docs.select(*COLUMNS), whole_documents=True)).select(*COLUMNS)
+    """Every taken copy as a row, sorted by its training position.
+
+    The plan is a table between the two moves of the texts (to their place in the
+    source, to their place in the mixture), so that their shuffles are not held together."""
+    plan = mixing.mixture_plan(docs.select(*COLUMNS), whole_documents=True).where(F.size("copies") > 0)
+    plan = written(plan.select(*COLUMNS, "copies", "positions", F.lit(0).alias("taken")))
+    settle(spark)
+    return mixing.curriculum(plan).select(*COLUMNS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
