@@ -63,7 +63,7 @@ BUFFER = 1 << 20
 BLOCK = 2048
 FANOUT = 8
 #: shared routing elements by which a cell sees that two documents have met in an earlier one
-FIRSTS = 32
+FIRSTS = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -236,6 +236,29 @@ def met_before(firsts: np.ndarray, known: np.ndarray, i: np.ndarray, j: np.ndarr
     return out
 
 
+def small_pairs(starts: np.ndarray, sizes: np.ndarray, columns: list[np.ndarray], percent: int):
+    """Surviving pairs of keys of all cells of at most FANOUT documents in a batch: under one node a traversal
+    compares its leaves, here those of all cells at once. ``columns`` as in a batch of _survivors."""
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in range(2, FANOUT + 1):
+        a, b = np.triu_indices(m, 1)
+        at = starts[sizes == m][:, None]
+        i.append((at + a).ravel())
+        j.append((at + b).ravel())
+    i, j = np.concatenate(i), np.concatenate(j)
+    keys, size, comp, bitmaps, counts, firsts, known = columns[4:]
+    ok = (comp[i] != comp[j]) & (100 * size[i] >= percent * size[j]) & (100 * size[j] >= percent * size[i])
+    i, j = i[ok], j[ok]
+    new = ~met_before(firsts, known, i, j)
+    i, j = i[new], j[new]
+    excess, mixed = size - np.bitwise_count(bitmaps).sum(1), np.zeros(len(size), bool)
+    leaf = (size, size, excess, bitmaps, comp, counts, mixed)
+    for s in range(0, len(i), 8192):
+        a, b = i[s:s + 8192], j[s:s + 8192]
+        fits = _possible([x[a] for x in leaf], [x[b] for x in leaf], percent)
+        yield keys[a[fits]], keys[b[fits]]
+
+
 def cell_pairs(keys: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, counts: np.ndarray, components: np.ndarray,
                side: np.ndarray, percent: int, leaders: int, firsts: np.ndarray, known: np.ndarray):
     """Surviving pairs of keys in one cell or pair of blocks."""
@@ -341,7 +364,14 @@ def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: i
             columns += [firsts, np.minimum(length, batch.column("place").to_numpy(zero_copy_only=False))]
             place = np.stack(columns[:3])
             cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            begin, end = np.concatenate(([0], cuts)), np.concatenate((cuts, [batch.num_rows]))
+            small = np.zeros(len(begin), bool)
+            if not leaders and len(begin) > 2:
+                # cells that begin and end within this batch
+                small[1:-1] = (end - begin)[1:-1] <= FANOUT
+                for i, j in small_pairs(begin[small], (end - begin)[small], columns, percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["a", "b"])
+            for a, b in zip(begin[~small].tolist(), end[~small].tolist()):
                 if held and any(held[-1][k][-1] != columns[k][a] for k in range(3)):
                     yield from pairs()
                     held = []
@@ -427,23 +457,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     filled = docs.where("size > 0")
 
     route = filled.select("key", F.col("size").cast("int").alias("size"), F.posexplode("route").alias("place", "cell"))
-    # elements of several documents: one move of the routing elements, in which a cell of any size spills
-    whole = Window.partitionBy("cell")
-    shared = route.withColumn("lo", F.min("key").over(whole)).withColumn("hi", F.max("key").over(whole)).where("lo <> hi")
-    cells = shared.groupBy("cell", "key", "size").agg(F.min("place").alias("place"))
+    shared = route.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
+    cells = route.join(shared, "cell").groupBy("cell", "key", "size").agg(F.min("place").alias("place"))
     # a document's place among its shared elements; a window holds one document's
     order = Window.partitionBy("key").orderBy("place", "cell")
     cells = put(cells.withColumn("place", F.row_number().over(order) - 1), "cells")
-    members = cells.select("key").distinct()
+    numbered, members = cells, cells.select("key").distinct()
     # linked sets differ by less than one of these bands in size, so they meet in the larger one's
     band = F.floor(F.log(F.col("size").cast("double")) / (1.0001 * math.log(100 / percent))) if percent < 100 else F.col("size")
-    cells = cells.withColumn("element", F.col("cell")).withColumn("band", F.explode(F.array(band, band + 1))) \
+    cells = cells.withColumn("band", F.explode(F.array(band, band + 1))) \
                  .withColumn("cell", F.xxhash64("cell", "band"))
     nodes = put(filled.join(members, "key", "left_semi").groupBy("key")
                     .agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("signature").alias("signature")), "nodes")
     # the first shared elements of every document, in the common order
-    firsts = (cells.where((F.col("place") < FIRSTS)).select("key", "place", "element").distinct().groupBy("key")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "element"))), lambda x: x["element"]).alias("firsts")))
+    firsts = (numbered.where(F.col("place") < FIRSTS).groupBy("key")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cell"))), lambda x: x["cell"]).alias("firsts")))
     signatures = put(nodes.select("key", "size", "signature").join(firsts, "key"), "signatures")
 
     def verified(found: DataFrame, name: str) -> DataFrame:
