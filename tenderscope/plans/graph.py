@@ -404,7 +404,7 @@ def ari_pairs(spark, sf_dir):
 
 
 def null_test(spark, sf_dir):
-    return _stored(spark, sf_dir, "null", lambda: gco.null_model_test(edges(spark, sf_dir), rewires=100, seed=42, rounds=5, alpha=0.01))
+    return _stored(spark, sf_dir, "null", lambda: gco.null_model_test(edges(spark, sf_dir), rewires=100, seed=42, rounds=5, alpha=0.01, group=100))
 
 
 def giant_edges(spark, sf_dir):
