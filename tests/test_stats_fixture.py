@@ -1,6 +1,7 @@
 """Statistics on hand-computed inputs (FIXTURES.md H3)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tenderscope.operators import stats as st
 from tenderscope.operators.common import minmax_scale
@@ -48,3 +49,9 @@ def test_delong_auc_matches(spark):
     rb = st.roc_pr_auc(df, "y", "b").first()["roc_auc"]
     assert r["auc_a"] == pytest.approx(ra) and r["auc_b"] == pytest.approx(rb)
     assert r["se"] > 0
+
+
+def test_chi2_of_millions_of_rows(spark):
+    d = spark.range(4_000_000).select((F.col("id") % 2).alias("r"), (F.col("id") % 2).alias("c"))
+    one = st.chi2_independence(d, "r", "c").first()
+    assert (one["chi2"], one["dof"], one["n"], one["cramers_v"]) == (pytest.approx(4e6), 1, 4_000_000, pytest.approx(1.0))
