@@ -111,3 +111,9 @@ def test_parity_mode_fans_out_on_contract_id(h1):
     c1_default = base.where(F.col("contract_id") == "c1").count()
     c1_parity = par.where(F.col("contract_id") == "c1").count()
     assert c1_default == 2 and c1_parity == 4
+
+
+def test_self_join_pairs_fold_into_one_row_a_day(h1):
+    # a distinct count over pairs keeps a row for each (focal contract, division) until all pairs are read
+    plan = hist.supplier_behavior_selfjoin(h1)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "distinct" not in plan and "_d#" in plan.split("join inner")[1].split("\n")[0]
