@@ -120,3 +120,42 @@ def test_access_log_stream(spark, tmp_path):
     finally:
         q.stop()
     assert rows[("admin", "reveal")] == 2 and rows[("viewer", "view")] == 1
+
+
+def test_blocks_hold_their_rows_whatever_the_density():
+    rng = np.random.default_rng(5)
+    # half of the rows in a speck, the others in long tails
+    x = np.vstack([rng.normal(size=(4000, 3)) * 1e-4, rng.standard_t(2, size=(4000, 3)) * 50])
+    tree = det._kd_tree(x, 64)
+    row, block = det._kd_blocks(tree, x)
+    assert sorted(row) == list(range(len(x))) and np.bincount(block).max() <= 64
+    d = np.sqrt(((x[::40, None] - x[None]) ** 2).sum(2))
+    far = np.sort(d, axis=1)[:, 10]
+    row_of, seen = _visited(tree, x[::40], far)
+    for i in range(len(far)):
+        near = set(block[np.argsort(row)][d[i] <= far[i]])
+        assert near <= seen[i]  # no neighbour lies in a block that is not visited
+    assert len(row_of) < 20 * len(far)  # a row visits a few of the 125 and more blocks
+
+
+def _visited(tree, x, far):
+    row, block = det._kd_blocks(tree, x, far)
+    seen = {}
+    for i, b in zip(row, block):
+        seen.setdefault(int(i), set()).add(b)
+    return row, seen
+
+
+def test_knn_over_many_blocks_leaves_out_rows_with_nulls(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(900, 2)) * 1e-3, rng.standard_t(2, size=(300, 2)) * 20])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(x)]
+    ref = spark.createDataFrame(rows + [(5000 + i, float(x[i, 0]), None) for i in range(0, 1200, 3)], "rid long, a double, b double")
+    query = ref.withColumnRenamed("rid", "qid")
+    got = det.knn(query, ref, ["a", "b"], 6, window=1).toPandas()
+    assert got["qid"].max() < 5000 and got["rid"].max() < 5000
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for qid, g in got.groupby("qid"):
+        want = np.lexsort((np.arange(len(x)), d[qid]))[:6]
+        assert g.sort_values(["dist", "rid"])["rid"].tolist() == want.tolist()
+    assert got["qid"].nunique() == len(x)
