@@ -83,3 +83,14 @@ def test_pairwise_ari(spark):
     one = metrics.ari_summary(metrics.pairwise_ari(df, top_k=2)).first()
     scores = sorted(got["whole", a, b][1] for a, b in ((1, 5), (1, 9), (5, 9)))
     assert (one["ari_min"], one["ari_median"], one["ari_max"]) == tuple(pytest.approx(x) for x in scores)
+
+
+def test_quantiles_over_all_rows_shuffle_no_rows_by_one_key(spark):
+    from tenderscope.operators.common import grouped_quantiles
+    df = spark.createDataFrame([(float(i),) for i in range(101)] + [(None,)], "v double")
+    q = grouped_quantiles(df, [], "v", {"a": 0.5, "b": 0.255})
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    r = q.first()
+    assert r["a"] == 50.0 and abs(r["b"] - 25.5) < 1e-9
+    assert grouped_quantiles(df.where("v IS NULL"), [], "v", {"a": 0.5}).collect()[0]["a"] is None
