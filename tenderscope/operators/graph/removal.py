@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .build import incidence
-from .iterative import connected_components
+from .iterative import connected_components, materialize
 
 
 def check_removal_set(edges: DataFrame, scenarios: DataFrame) -> None:
@@ -131,28 +131,51 @@ def removed_cut_vertices(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
 def removal_component_shares(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Largest-component share of all nodes before and after each removal.
 
-    Every scenario's surviving graph is a copy of the edges under its key (a
-    what-if list is short), the whole graph is one more; all are labelled in the
-    same component rounds. Nodes left without edges are components of one node.
+    The graph without any of the named nodes is labelled once. A scenario gives the
+    named nodes that it keeps back: its graph has one vertex for each component that
+    they touch and one for each of them, and only the edges at named nodes are
+    copied per scenario (a what-if list is short). No removal at all is one more
+    scenario. Nodes left without edges are components of one node.
     """
     sc = scenarios.select("scenario_id", "node_id").distinct()
     ids = sc.select("scenario_id").distinct()
-    e = edges.select("src", "dst")
-    copies = e.crossJoin(F.broadcast(ids))
-    kept = (copies.join(sc.withColumnRenamed("node_id", "src"), ["scenario_id", "src"], "left_anti")
-            .join(sc.withColumnRenamed("node_id", "dst"), ["scenario_id", "dst"], "left_anti"))
-    keyed = kept.select(F.struct(F.lit(1).alias("after"), "scenario_id").alias("k"), "src", "dst") \
-        .unionByName(e.select(F.struct(F.lit(0).alias("after"), F.lit(None).cast(sc.schema["scenario_id"].dataType).alias("scenario_id")).alias("k"), "src", "dst"))
-    names = keyed.select(F.to_json("k").alias("k"), "src", "dst")  # a join key without nulls
-    sizes = connected_components(names, ("k",)).groupBy("k", "component_id").agg(F.count(F.lit(1)).alias("_s")) \
-        .groupBy("k").agg(F.max("_s").alias("_giant"))
-    nodes = incidence(edges.select("src", "dst", F.lit(0.0).alias("weight"), F.lit(0).alias("contracts"))).select("node_id").distinct()
+    e = materialize(edges.select("src", "dst"))
+    named = sc.select("node_id").distinct()
+    nodes = materialize(e.select(F.col("src").alias("node_id")).unionByName(e.select(F.col("dst").alias("node_id"))).distinct())
+    rest = e.join(named.withColumnRenamed("node_id", "src"), "src", "left_anti").join(named.withColumnRenamed("node_id", "dst"), "dst", "left_anti")
+    parts = connected_components(rest)
+    # vertices of the small graphs: components and nodes without edges among the rest, and named nodes
+    vertex = nodes.join(parts, "node_id", "left").join(named.withColumn("_named", F.lit(True)), "node_id", "left") \
+                  .select("node_id", F.coalesce("component_id", "node_id").alias("v"), F.coalesce("_named", F.lit(False)).alias("named"))
+    vertex = materialize(vertex)
+    sizes = vertex.groupBy("v").agg(F.count(F.lit(1)).alias("_s"))
+    ends = [vertex.select(F.col("node_id").alias(c), F.col("v").alias(f"v_{c}"), F.col("named").alias(f"n_{c}")) for c in ("src", "dst")]
+    at = e.join(ends[0], "src").join(ends[1], "dst").where("n_src OR n_dst").select("v_src", "v_dst").distinct()
+    # k: a scenario, or null for no removal; a join key without nulls
+    none = F.lit(None).cast(sc.schema["scenario_id"].dataType).alias("scenario_id")
+    key = lambda after: F.to_json(F.struct(F.lit(after).alias("after"), "scenario_id")).alias("k")
+    gone = sc.where(F.col("scenario_id").isNotNull()).select(key(1), "node_id")  # a list without a name removes nothing
+    keys = ids.select(key(1)).unionByName(edges.sparkSession.range(1).select(none).select(key(0)))
+    copies = at.crossJoin(F.broadcast(keys))
+    for c in ("v_src", "v_dst"):
+        copies = copies.join(gone.withColumnRenamed("node_id", c), ["k", c], "left_anti")
+    joined = connected_components(copies.select("k", F.col("v_src").alias("src"), F.col("v_dst").alias("dst")), ("k",)).withColumnRenamed("node_id", "v")
+    joined = joined.join(sizes, "v").select("k", "v", "component_id", "_s")
+    merged = joined.groupBy("k", "component_id").agg(F.sum("_s").alias("_s")).groupBy("k").agg(F.max("_s").alias("_merged"))
+    # components that no kept named node touches, by scenario: those in no row of ``joined``; ones of named nodes count only there
+    touched = joined.select("v").distinct()
+    alone = sizes.join(touched, "v", "left_anti").join(named.withColumnRenamed("node_id", "v"), "v", "left_anti").agg(F.max("_s").alias("_far"))
+    near = touched.join(sizes, "v").join(named.withColumnRenamed("node_id", "v"), "v", "left_anti").select("v", "_s").crossJoin(F.broadcast(keys)) \
+                  .join(joined.select("k", "v"), ["k", "v"], "left_anti").groupBy("k").agg(F.max("_s").alias("_near"))
+    giant = keys.join(merged, "k", "left").join(near, "k", "left").crossJoin(F.broadcast(alone)) \
+                .select("k", F.greatest("_merged", "_near", "_far").alias("_giant"))
+    giant = materialize(giant)
     n = nodes.agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.where(F.col("k") == F.to_json(F.struct(F.lit(0).alias("after")))).select(F.col("_giant").alias("_before"))
+    before = giant.where(F.col("k") == F.to_json(F.struct(F.lit(0).alias("after")))).select(F.col("_giant").alias("_before"))
     # removed nodes of the graph, as many as the what-if list names
-    gone = sc.join(nodes, "node_id").groupBy("scenario_id").agg(F.count(F.lit(1)).alias("_gone"))
-    out = ids.withColumn("k", F.to_json(F.struct(F.lit(1).alias("after"), "scenario_id"))).join(sizes, "k", "left").join(gone, "scenario_id", "left")
+    lost = sc.join(nodes, "node_id").groupBy("scenario_id").agg(F.count(F.lit(1)).alias("_gone"))
+    out = ids.withColumn("k", key(1)).join(giant, "k", "left").join(lost, "scenario_id", "left")
     out = out.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(before))
-    rest = F.col("_n") - F.coalesce("_gone", F.lit(0))
+    rest_n = F.col("_n") - F.coalesce("_gone", F.lit(0))
     return out.select("scenario_id", (F.col("_before") / F.col("_n")).alias("largest_component_share_before"),
-                      F.when(rest > 0, F.greatest(F.coalesce("_giant", F.lit(1)), F.lit(1)) / rest).otherwise(0.0).alias("largest_component_share_after"))
+                      F.when(rest_n > 0, F.greatest(F.coalesce("_giant", F.lit(1)), F.lit(1)) / rest_n).otherwise(0.0).alias("largest_component_share_after"))
