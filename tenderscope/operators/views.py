@@ -28,7 +28,7 @@ def exact_median(df: DataFrame, value, measure: str) -> DataFrame:
     two-level prefix sum, so that no task holds all values."""
     counts = df.select(value.alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
     placed = global_order_prefix(counts, [F.col("_v")], {"rows": F.col("_c").cast("double")})
-    total = counts.agg(F.sum("_c").alias("_t"))
+    total = placed.agg(F.sum("_c").alias("_t"))
     low, high = F.floor((F.col("_t") - 1) / 2) + 1, F.floor(F.col("_t") / 2) + 1  # 1-based places of the middle rows
     holds = [(F.col("_cum_rows") >= p) & (F.col("_cum_rows") - F.col("_c") < p) for p in (low, high)]
     return with_scalar(placed, total).agg(
@@ -40,7 +40,8 @@ def empirical_cdf(df: DataFrame, value: str) -> DataFrame:
     """(value, cdf): share of rows at or below each distinct value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
     placed = global_order_prefix(counts, [F.col(value)], {"rows": F.col("_c").cast("double")})
-    return with_scalar(placed, counts.agg(F.sum("_c").alias("_t"))).select(value, (F.col("_cum_rows") / F.col("_t")).alias("cdf"))
+    # the total of the placed counts: they are written, ``counts`` would run the whole query again
+    return with_scalar(placed, placed.agg(F.sum("_c").alias("_t"))).select(value, (F.col("_cum_rows") / F.col("_t")).alias("cdf"))
 
 
 def degree_summary(metrics: DataFrame) -> DataFrame:
