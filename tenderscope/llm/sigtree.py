@@ -52,7 +52,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph.iterative import connected_components
 from .byteops import cut_at_blanks, groups_by_size, mix, segment_hashes
-from .common import batches_of, discard, scratch, shuffle_width, written
+from .common import batches_of, discard, scratch, settle, shuffle_width, written
 
 BUCKET_BITS = 18
 BITS = 2048
@@ -62,6 +62,8 @@ BUFFER = 1 << 20
 #: documents of a cell that one task compares with one another or with another block
 BLOCK = 2048
 FANOUT = 8
+#: parts of the last round's cells that meet the signatures one after the other, so that one part's copies are on disk at a time
+PARTS = 3
 #: shared routing elements by which a cell sees that two documents have met in an earlier one
 FIRSTS = 16
 
@@ -324,24 +326,28 @@ def _signatures(rows: DataFrame, late: np.ndarray, n: int, percent: int) -> Data
     return rows.select("id", "text").mapInArrow(run, schema)
 
 
-def _survivors(cells: DataFrame, signatures: DataFrame, percent: int, leaders: int) -> DataFrame:
-    """(a, b): keys of pairs that survive the trees of the cells (cell, key, place, comp).
-
-    ``leaders`` 0: all pairs of two components; else only pairs with leaders, in an order of that number."""
-    import pyarrow as pa
-
+def _met(cells: DataFrame) -> DataFrame:
+    """The rows of cells (cell, key, place, comp) in which pairs of two components can meet, with the number of the cell's blocks."""
     counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"),
                                        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
                                        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("place", "key").alias("at"))
     # cells with one component have nothing to find; of cells with the same members the first in the common order is enough
     counts = counts.where("c0 <> c1").groupBy("m", "x", "y").agg(F.min(F.struct("at", "cell")).alias("c")) \
                    .select(F.col("c.cell").alias("cell"), "m")
-    rows = cells.join(counts.select("cell", F.ceil(F.col("m") / BLOCK).alias("blocks")), "cell")
-    rows = rows.join(signatures, "key").withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")))
+    return cells.join(counts.select("cell", F.ceil(F.col("m") / BLOCK).alias("blocks")), "cell")
+
+
+def _survivors(met: DataFrame, signatures: DataFrame, percent: int, leaders: int) -> DataFrame:
+    """(a, b): keys of pairs that survive the trees of the cells (cell, key, place, comp, blocks).
+
+    ``leaders`` 0: all pairs of two components; else only pairs with leaders, in an order of that number."""
+    import pyarrow as pa
+
+    rows = met.join(signatures, "key").withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "key",
                        "size", "comp", "signature", "place", "firsts")
-    width = shuffle_width(cells.sparkSession)
+    width = shuffle_width(met.sparkSession)
     rows = rows.repartition(width, "cell", "p", "q").sortWithinPartitions("cell", "p", "q")
 
     def run(batches):
@@ -457,8 +463,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     filled = docs.where("size > 0")
 
     route = filled.select("key", F.col("size").cast("int").alias("size"), F.posexplode("route").alias("place", "cell"))
-    shared = route.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
-    cells = route.join(shared, "cell").groupBy("cell", "key", "size").agg(F.min("place").alias("place"))
+    # an element of two sets or more; windows and groups of a cell come out of one shuffle
+    here = Window.partitionBy("cell")
+    shared = route.withColumn("lo", F.min("key").over(here)).withColumn("hi", F.max("key").over(here)).where("lo <> hi")
+    cells = shared.groupBy("cell", "key", "size").agg(F.min("place").alias("place"))
     # a document's place among its shared elements; a window holds one document's
     order = Window.partitionBy("key").orderBy("place", "cell")
     cells = put(cells.withColumn("place", F.row_number().over(order) - 1), "cells")
@@ -473,13 +481,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = (numbered.where(F.col("place") < FIRSTS).groupBy("key")
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cell"))), lambda x: x["cell"]).alias("firsts")))
     signatures = put(nodes.select("key", "size", "signature").join(firsts, "key"), "signatures")
+    # what follows reads ids and sizes only: the tables that hold routes and signatures a second time go
+    docs, nodes = put(docs.select("id", "size", "key"), "sizes"), put(nodes.select("key", "id"), "ids")
+    discard(spark, f"{folder}/documents")
+    discard(spark, f"{folder}/nodes")
 
-    def verified(found: DataFrame, name: str) -> DataFrame:
-        """The linked pairs; pairs and sets of the round go once they are verified."""
-        found = put(found, f"pairs-{name}")
+    def verified(some: DataFrame, leaders: int, name: str, parts: int = 1) -> DataFrame:
+        """The linked pairs of the cells; pairs and sets of the round go once they are verified."""
+        met, found = put(_met(some), f"met-{name}"), None
+        for k in range(parts):
+            if parts > 1:
+                settle(spark)
+            part = met.where(F.pmod(F.xxhash64("cell", F.lit(3)), F.lit(parts)) == k)
+            new = put(_survivors(part, signatures, percent, leaders), f"part-{name}-{k}")
+            found = new if found is None else found.unionByName(new)
+        found = put(found.distinct(), f"pairs-{name}") if parts > 1 else found
+        discard(spark, f"{folder}/met-{name}")
         sets = put(_sets(rows, nodes, found, n), f"sets-{name}")
         links = put(_verified(found, sets, percent), f"links-{name}")
-        discard(spark, f"{folder}/pairs-{name}")
+        for table in ([f"pairs-{name}"] if parts > 1 else []) + [f"part-{name}-{k}" for k in range(parts)]:
+            discard(spark, f"{folder}/{table}")
         discard(spark, f"{folder}/sets-{name}")
         return links
 
@@ -494,16 +515,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         early = cells.where(F.col("place").between(r * first_elements, (r + 1) * first_elements - 1))
         if links is not None and early.isEmpty():
             break
-        new = verified(_survivors(placed(early, known), signatures, percent, r + 1), str(r))
+        new = verified(placed(early, known), r + 1, str(r))
         links = new if links is None else links.unionByName(new)
         known = put(_components(links), f"components-{r}")
         if r:
             discard(spark, f"{folder}/components-{r - 1}")
-    rest = verified(_survivors(placed(cells, known), signatures, percent, 0), "rest")
+    rest = verified(placed(cells, known), 0, "rest", PARTS)
     if not rest.isEmpty():
         known = put(_components(links.unionByName(rest)), "components-rest")
     discard(spark, f"{folder}/cells")
-    discard(spark, f"{folder}/nodes")
     discard(spark, f"{folder}/signatures")
 
     names = docs.groupBy("key").agg(F.min("id").alias("id")).join(known, "key", "left") \

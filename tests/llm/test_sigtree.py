@@ -185,3 +185,25 @@ def test_large_families_are_not_paired_out(spark, monkeypatch, changed, most, gr
     got = sigtree.near_duplicates(df, n=3, percent=90).collect()
     assert len({r["component_id"] for r in got}) == groups
     assert sum(pairs) < most, pairs
+
+
+def test_signatures_are_held_once_and_meet_the_last_cells_in_parts(spark, monkeypatch):
+    """While cells are searched one table holds signatures and none holds routes; the last round's cells come in parts."""
+    import os
+    df = spark.createDataFrame(family(random.Random(8), 60, 200, 9), "doc_id long, text string").repartition(3)
+    held, last, folders, survivors, scratch = [], [], [], sigtree._survivors, sigtree.scratch
+    monkeypatch.setattr(sigtree, "scratch", lambda *a: folders.append(scratch(*a)) or folders[-1])
+
+    def seen(some, signatures, percent, leaders):
+        tables = os.listdir(folders[0].removeprefix("file:"))
+        columns = {t: spark.read.parquet(f"{folders[0]}/{t}").columns for t in tables}
+        held.append([t for t, c in columns.items() if {"signature", "route"} & set(c)])
+        if not leaders:
+            last.append({r["cell"] for r in some.select("cell").distinct().collect()})
+        return survivors(some, signatures, percent, leaders)
+
+    monkeypatch.setattr(sigtree, "_survivors", seen)
+    sigtree.near_duplicates(df, n=3, percent=90).collect()
+    assert held and all(t == ["signatures"] for t in held)
+    assert len(last) > 1 and sum(map(len, last)) == len(set().union(*last)) > 1
+    assert max(map(len, last)) < sum(map(len, last))
