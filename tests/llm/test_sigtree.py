@@ -190,7 +190,7 @@ def test_large_families_are_not_paired_out(spark, monkeypatch, changed, most, gr
 def test_signatures_are_held_once_and_meet_the_last_cells_in_parts(spark, monkeypatch):
     """While cells are searched one table holds signatures and none holds routes; the last round's cells come in parts."""
     import os
-    df = spark.createDataFrame(family(random.Random(8), 60, 200, 9), "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame(family(random.Random(8), 60, 200, 3), "doc_id long, text string").repartition(3)
     held, last, folders, survivors, scratch = [], [], [], sigtree._survivors, sigtree.scratch
     monkeypatch.setattr(sigtree, "scratch", lambda *a: folders.append(scratch(*a)) or folders[-1])
 
